@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqbraid.llm import near_dedup
+from seqbraid.llm import near_dedup, secret_scan, warc
 from seqbraid.plans import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,17 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", k=3, num=85, den=100)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicated(_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_near_dedup,)}
+    return {f.__name__: f for f in (op5_near_dedup, op8_secret_scan, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_secret_scan": secret_scan.report_sql(), "op10_warc": warc.deduplicated_sql()}

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqbraid.llm import near_dedup, secret_scan, warc
+from seqbraid.llm import lm_scoring, near_dedup, secret_scan, sentencepieces, token_files, warc
 from seqbraid.plans import ship
 
+#: The folder of the public tokenizers' files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,10 +21,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", with_ids=False)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", k=3, num=85, den=100)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +46,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_near_dedup, op8_secret_scan, op10_warc)}
+    return {f.__name__: f for f in (op3_token_files, op4_sentencepiece, op5_near_dedup, op6_lm_scoring, op8_secret_scan, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

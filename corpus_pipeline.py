@@ -1,28 +1,58 @@
-"""A training-data pipeline: each stage applies one corpus operator."""
+"""A training-data pipeline: each stage applies one corpus operator to all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqbraid.llm import near_dedup
+from seqbraid.llm import decontaminate, language_id, near_dedup, registry, secret_scan, sentencepieces
 from seqbraid.plans import ship
 from seqbraid.plans.shared import materialize
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language isn't clear, go."""
+    ship.ensure(spark)
+    return language_id.keep_identified(docs)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity 0.8)."""
     ship.ensure(spark)
     return near_dedup.drop_near_duplicates(docs, k=5, num=80, den=100)
 
 
-STAGES = [("near_dedup", near_dedup_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    ship.ensure(spark)
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; n_chars stays the length of the text as it came."""
+    ship.ensure(spark)
+    return secret_scan.redact(docs)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives it back."""
+    ship.ensure(spark)
+    return sentencepieces.encode(docs, f"{registry.TOKENIZERS}/piece_bpe_32k.model")
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secret_scan", secrets_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
 
-#: Language models of compression, sketches and alignments are beyond SQL.
+#: Compression models, sketches and alignments are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each result is written and read again."""
+    """All stages over the documents table; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

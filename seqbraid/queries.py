@@ -1,11 +1,308 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, with the same in DuckDB SQL.
+
+The tables hold no sequences.  A user's barcode is the digest of the user's id in
+four letters, and every seventh event reads it with one letter changed, which gives
+frequent centres with rare variants around them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from seqbraid import api
+from seqbraid.functions import strings
+from seqbraid.operators import collapse, components, message_passing, pairs, spheres
+from seqbraid.plans import ship
+from seqbraid.plans.shared import materialize, new_path
+from seqbraid.sources import reads as sources, render
+from seqbraid.streaming import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_HEX, _DNA = "0123456789abcdef", "ACGTACGTACGTACGT"
+
+
+def _code(key: str, start: int, length: int, text: str = "string") -> str:
+    return f"substr(translate(md5(cast({key} as {text})), '{_HEX}', '{_DNA}'), {start}, {length})"
+
+
+def _barcode(text: str = "string") -> str:
+    code, at = _code("user_id", 1, 20, text), "cast(event_id % 20 as int)"
+    return f"case when event_id % 7 = 0 then concat(substr({code}, 1, {at}), 'A', substr({code}, {at} + 2)) else {code} end"
+
+
+def _tagged(text: str = "string") -> str:
+    """A tag of eight letters by the value's parity, then the barcode and a tail of six."""
+    return f"concat({_code('cast(event_id % 3 as int)', 1, 8, text)}, {_barcode(text)}, {_code('user_id', 21, 6, text)})"
+
+
+def _mate(text: str = "string") -> str:
+    return _code("user_id", 13, 18, text)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship.ensure(spark)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
+
+
+def _reads(spark: SparkSession, sf_dir: str, seq: str | None = None, mate: str | None = None) -> DataFrame:
+    empty = F.lit(None).cast("string")
+    columns = {"read_id": F.col("event_id"), "seq": F.expr(seq or _barcode()), "cnt": F.lit(1).cast("long"), "header": F.col("event_type"), "seq2": F.expr(mate) if mate else empty}
+    return _events(spark, sf_dir).select(*(columns.get(c, empty).alias(c) for c in sources.COLUMNS))
+
+
+def _uniq(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return materialize(collapse.ranked(collapse.collapse(_reads(spark, sf_dir, **how), with_ids=False)), "uniq")
+
+
+def _named(found: DataFrame, uniq: DataFrame, **columns: str) -> DataFrame:
+    """``found`` with the strings of the uids in its columns, in their place."""
+    for column, name in columns.items():
+        found = found.join(uniq.select(F.col("uid").alias(column), F.col("key").alias(f"_{name}")), column).drop(column).withColumnRenamed(f"_{name}", name)
+    return found
+
+
+def normalize_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = _reads(spark, sf_dir, seq=f"lower({_barcode()})")
+    return sources.normalize(low).select("read_id", "seq", F.length("seq").cast("long").alias("len"))
+
+
+def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse.collapse(_reads(spark, sf_dir), with_ids=False).select("seq", "cnt", "first_read_id")
+
+
+def dedup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse.collapse(_reads(spark, sf_dir)).select("seq", F.array_join("read_ids", ",").alias("read_ids"))
+
+
+def first_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse.collapse(_reads(spark, sf_dir), with_ids=False, with_info=True).select("seq", "header")
+
+
+def ranked_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uniq(spark, sf_dir).select("uid", "seq", F.col("len").cast("long").alias("len"))
+
+
+def length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship.ensure(spark)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.length("p_name").cast("long").alias("len"))
+    return part.groupBy("len").agg(F.count("*").alias("n"))
+
+
+def auto_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    median = strings.median_length(_uniq(spark, sf_dir))
+    return spark.createDataFrame([(median, strings.auto_distance(median))], "median long, distance long")
+
+
+def _pairs(most: int, method: str = "segments") -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        uniq = _uniq(spark, sf_dir)
+        return _named(pairs.similar_pairs(uniq, most, method=method), uniq, a="seq_a", b="seq_b").withColumn("dist", F.col("dist").cast("long"))
+
+    return query
+
+
+def pairs_parts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship.ensure(spark)
+    names = sources.from_dataframe(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_name", id_col="p_partkey")
+    uniq = materialize(collapse.ranked(collapse.collapse(names, with_ids=False)), "uniq")
+    return _named(pairs.similar_pairs(uniq, 3, wildcard=None), uniq, a="seq_a", b="seq_b").withColumn("dist", F.col("dist").cast("long"))
+
+
+def pairs_two_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uniq = _uniq(spark, sf_dir)
+    users = _events(spark, sf_dir).select("user_id").distinct()
+    queries = users.select(F.col("user_id").alias("uid"), F.expr(_code("user_id", 1, 20)).alias("seq"))
+    found = _named(pairs.pairs_against(queries, uniq, 2), uniq, target="seq")
+    return found.select(F.col("query").alias("user_id"), "seq", F.col("dist").cast("long").alias("dist"))
+
+
+def paired_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uniq = _uniq(spark, sf_dir, mate=_mate())
+    return _named(pairs.similar_pairs(uniq, 3, paired=True), uniq, a="seq_a", b="seq_b").withColumn("dist", F.col("dist").cast("long"))
+
+
+def paired_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _events(spark, sf_dir).select("event_id", F.expr(_barcode()).alias("s"), F.expr(_code("user_id", 1, 20)).alias("t"), F.expr(_mate()).alias("m"), F.expr(_code("user_id", 12, 18)).alias("n"))
+    return read.select("event_id", strings.pair_distance(F.col("s"), F.col("m"), F.col("t"), F.col("n"), 8, None).cast("long").alias("dist"))
+
+
+def mp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uniq = _uniq(spark, sf_dir)
+    edges = message_passing.oriented(pairs.similar_pairs(uniq, 2, ratio=5.0), uniq, 5.0)
+    return _named(edges, uniq, child="child_seq", parent="parent_seq").withColumn("dist", F.col("dist").cast("long"))
+
+
+def mp_direct_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uniq = _uniq(spark, sf_dir)
+    edges = message_passing.oriented(pairs.similar_pairs(uniq, 2, ratio=2.0), uniq, 2.0)
+    return _named(message_passing.direct_parents(edges), uniq, child="child_seq", parent="parent_seq").withColumn("dist", F.col("dist").cast("long"))
+
+
+def neighbor_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uniq = _uniq(spark, sf_dir)
+    return _named(spheres.neighbour_weight(uniq, pairs.similar_pairs(uniq, 2)), uniq, uid="seq")
+
+
+def cc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uniq = _uniq(spark, sf_dir)
+    return _named(components.connected_components(pairs.similar_pairs(uniq, 2)), uniq, node="seq", component="label")
+
+
+def _clustered(algorithm: str, look: Callable[[api.Clustering], DataFrame], seq: str | None = None, mate: str | None = None, ratio: float = 5.0, info: bool = False) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return look(api.cluster(_reads(spark, sf_dir, seq, mate), None, ratio, algorithm, with_info=info))
+
+    return query
+
+
+def _sizes(found: api.Clustering) -> DataFrame:
+    return found.clusters().select("canonical", "size", "n_unique")
+
+
+def _lists(found: api.Clustering) -> DataFrame:
+    return found.clusters().select("canonical", F.array_join("members", ",").alias("members"), F.array_join("read_ids", ",").alias("read_ids"))
+
+
+def umi_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.cluster_tags(_reads(spark, sf_dir, _tagged()), 8, 0, 2, 20)
+    return found.select("canonical", "tag_canonical", "seq_canonical", "size", F.array_join("read_ids", ",").alias("read_ids"))
+
+
+def umi_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.cluster_tags(_reads(spark, sf_dir, _tagged(), _mate()), 8, 0, 2, 0)
+    return found.select("canonical", "size")
+
+
+def _file_round_trip(fmt: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reads = _reads(spark, sf_dir)
+        header = F.concat(F.lit(">" if fmt == "fasta" else "@"), F.col("read_id"), F.lit(" "), F.col("header"))
+        rows = reads.select("seq", header.alias("header"), F.lit("I" * 20).alias("qual"), F.col("seq").alias("canonical"), F.col("read_id").alias("size"))
+        path = new_path(spark, fmt)
+        lines = render.unique_lines(rows, fmt)
+        if fmt == "raw":
+            lines = rows.orderBy(F.desc("size")).select(F.concat_ws("\t", "seq", F.col("size").cast("string")).alias("value"))
+        render.write(lines, path)
+        return sources.read(spark, path, fmt=fmt).select("read_id", "seq", "cnt", "header")
+
+    return query
+
+
+def paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = _reads(spark, sf_dir, mate=_mate())
+    header = F.concat(F.lit("@"), F.col("read_id").cast("string"))
+    rows = reads.select("seq", "seq2", header.alias("header"), header.alias("header2"), F.lit("I").alias("qual"), F.lit("J").alias("qual2"), F.col("seq").alias("canonical"), F.col("read_id").alias("size"))
+    one, two = new_path(spark, "mate1"), new_path(spark, "mate2")
+    render.write(render.unique_lines(rows, "fastq", 1), one)
+    render.write(render.unique_lines(rows, "fastq", 2), two)
+    return sources.read(spark, one, two).select("read_id", "seq", "seq2", "header2")
+
+
+def stream_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    ship.ensure(spark)
+    return incremental.collapse_files(spark, f"{sf_dir}/events.parque?", schema, _barcode(), "event_id").where("seq is not null")
+
+
+def queries() -> dict[str, Query]:
+    plain = (normalize_reads, dedup_counts, dedup_ids, first_info, ranked_order, length_hist, auto_distance, pairs_parts_text, pairs_two_table, paired_pairs, paired_distance, mp_edges, mp_direct_parents, neighbor_weight, cc_labels, umi_clusters, umi_paired, paired_files, stream_collapse)
+    found = {f.__name__: f for f in plain}
+    found |= {"pairs_d1": _pairs(1), "pairs_d2": _pairs(2), "pairs_d3": _pairs(3), "pairs_nested_d2": _pairs(2, "nested")}
+    found |= {f"{fmt}_round_trip": _file_round_trip(fmt) for fmt in sources.FORMATS}
+    found |= {
+        "mp_clusters": _clustered("mp", _sizes),
+        "mp_lists": _clustered("mp", _lists),
+        "mp_tidy": _clustered("mp", api.Clustering.tidy),
+        "mp_nonredundant": _clustered("mp", lambda c: c.non_redundant().select("canonical", "size", "header"), info=True),
+        "mp_paired": _clustered("mp", _sizes, mate=_mate()),
+        "sphere_clusters": _clustered("spheres", _sizes),
+        "cc_clusters": _clustered("components", _sizes),
+    }
+    return found
+
+
+def _sql_reads(seq: str | None = None, mate: str | None = None) -> str:
+    return f"reads as (select event_id as read_id, {seq or _barcode('varchar')} as seq, {mate or 'null'} as mate, event_type as header from events where user_id is not null)"
+
+
+_SQL_UNIQ = (
+    "uniq as (select *, row_number() over (order by length(key), key) as uid from (select seq, mate, case when mate is null then seq else concat(seq, '---------', mate) end as key, "
+    "case when mate is null then seq else concat(seq, '/', mate) end as name, count(*) as cnt, min(read_id) as first_read_id, arg_min(header, read_id) as header, list(read_id order by read_id) as ids from reads group by seq, mate))"
+)
+
+
+def _sql_pairs(most: int, paired: bool = False) -> str:
+    dist = "levenshtein(x.seq, y.seq)" + (" + levenshtein(x.mate, y.mate)" if paired else "")
+    return f"pairs as (select x.uid as a, y.uid as b, x.key as seq_a, y.key as seq_b, x.cnt as ca, y.cnt as cb, {dist} as dist from uniq x join uniq y on x.uid < y.uid where {dist} <= {most})"
+
+
+def _sql_edges(ratio: float) -> str:
+    return f"edges as (select case when ca >= cb then b else a end as child, case when ca >= cb then a else b end as parent, dist from pairs where greatest(ca, cb) >= {ratio} * least(ca, cb))"
+
+
+_SQL_DIRECT = "direct as (select child, parent, dist from (select *, min(dist) over (partition by child) as low from edges) where dist = low)"
+_SQL_MP = "canon as (select uid, min(root) as canonical from chain group by uid)"
+_SQL_CHAIN = "chain(uid, root) as (select uid, uid from uniq where uid not in (select child from direct) union select d.child, c.root from direct d join chain c on d.parent = c.uid)"
+_SQL_BOTH = "both_ways as (select a, b, cb as cnt from pairs union all select b, a, ca from pairs)"
+_SQL_REACH = "reach(node, got) as (select uid, uid from uniq union select r.node, e.b from reach r join both_ways e on r.got = e.a)"
+_SQL_LABEL = "label as (select node, min(got) as component from reach group by node)"
+_SQL_CENTRE = "canon as (select l.node as uid, first_value(l.node) over (partition by l.component order by u.cnt desc, coalesce(d.n, 0) desc, u.uid) as canonical from label l join uniq u on u.uid = l.node left join (select a, count(*) as n from both_ways group by a) d on d.a = l.node)"
+
 
-def queries() -> dict:
-    return {}
+def _with(*parts: str) -> str:
+    return "with recursive " + ", ".join(parts) + " "
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    """The chains of message passing lead each string to one root here, and each sphere is a component of its own."""
+    reads = _sql_reads()
+    base = _with(reads, _SQL_UNIQ)
+    mp = _with(reads, _SQL_UNIQ, _sql_pairs(2), _sql_edges(5.0), _SQL_DIRECT, _SQL_CHAIN, _SQL_MP)
+    cc = _with(reads, _SQL_UNIQ, _sql_pairs(2), _SQL_BOTH, _SQL_REACH, _SQL_LABEL, _SQL_CENTRE)
+    paired = _with(_sql_reads(mate=_mate("varchar")), _SQL_UNIQ, _sql_pairs(3, True))
+    paired_mp = _with(_sql_reads(mate=_mate("varchar")), _SQL_UNIQ, _sql_pairs(3, True), _sql_edges(5.0), _SQL_DIRECT, _SQL_CHAIN, _SQL_MP)
+    sizes = "select c.name as canonical, sum(u.cnt)::bigint as size, count(*) as n_unique from canon a join uniq u on u.uid = a.uid join uniq c on c.uid = a.canonical group by c.name"
+    pair = "select seq_a, seq_b, dist::bigint as dist from pairs where dist > 0"
+    named = "select x.key as child_seq, y.key as parent_seq, dist::bigint as dist from {t} join uniq x on x.uid = child join uniq y on y.uid = parent"
+    ordered = "row_number() over (order by read_id desc)"
+    tagged = f"tagged as (select event_id as read_id, substr(s, 1, 8) as tag, substr(s, 9, 20) as seq, substr(s, 29) as tail from (select event_id, {_tagged('varchar')} as s from events where user_id is not null))"
+    tag_reads = "reads as (select read_id, seq, null as mate, null as header from tagged)"
+    tails = "tails as (select canonical, arg_min(tail, {'n': -n, 'pos': pos}) as tail from (select canonical, tail, count(*) as n, max(read_id) as pos from assigned group by canonical, tail) group by canonical)"
+    umi = _with(tagged, tag_reads, _SQL_UNIQ, _sql_pairs(2), _sql_edges(3.0), _SQL_DIRECT, _SQL_CHAIN, _SQL_MP, "assigned as (select t.read_id, t.tag, t.tail, c.seq as canonical from tagged t join uniq u on u.seq = t.seq join canon a on a.uid = u.uid join uniq c on c.uid = a.canonical)", tails)
+    return {
+        "normalize_reads": _with(reads) + "select read_id, seq, length(seq) as len from reads",
+        "dedup_counts": base + "select seq, cnt, first_read_id from uniq",
+        "dedup_ids": base + "select seq, array_to_string(ids, ',') as read_ids from uniq",
+        "first_info": base + "select seq, header from uniq",
+        "ranked_order": base + "select uid, seq, length(seq) as len from uniq",
+        "length_hist": "select length(p_name) as len, count(*) as n from part group by len",
+        "auto_distance": base + ", h as (select length(key) as len, count(*) as n from uniq group by len), m as (select min(len) as median from (select len, sum(n) over (order by len) as upto, sum(n) over () as total from h) where upto >= total // 2) select median, case when median > 160 then 8 else 2 + median // 30 end as distance from m",
+        "pairs_d1": _with(reads, _SQL_UNIQ, _sql_pairs(1)) + pair,
+        "pairs_d2": _with(reads, _SQL_UNIQ, _sql_pairs(2)) + pair,
+        "pairs_d3": _with(reads, _SQL_UNIQ, _sql_pairs(3)) + pair,
+        "pairs_nested_d2": _with(reads, _SQL_UNIQ, _sql_pairs(2)) + pair,
+        "pairs_parts_text": _with("reads as (select p_partkey as read_id, p_name as seq, null as mate, null as header from part where p_name is not null)", _SQL_UNIQ, _sql_pairs(3)) + pair,
+        "pairs_two_table": _with(reads, _SQL_UNIQ, f"users as (select distinct user_id, {_code('user_id', 1, 20, 'varchar')} as code from events where user_id is not null)") + "select user_id, seq, levenshtein(code, seq)::bigint as dist from users, uniq where levenshtein(code, seq) <= 2",
+        "paired_pairs": paired + pair,
+        "paired_distance": f"select event_id, case when d <= 8 then d else -1 end::bigint as dist from (select event_id, levenshtein({_barcode('varchar')}, {_code('user_id', 1, 20, 'varchar')}) + levenshtein({_mate('varchar')}, {_code('user_id', 12, 18, 'varchar')}) as d from events where user_id is not null)",
+        "mp_edges": _with(reads, _SQL_UNIQ, _sql_pairs(2), _sql_edges(5.0)) + named.format(t="edges"),
+        "mp_direct_parents": _with(reads, _SQL_UNIQ, _sql_pairs(2), _sql_edges(2.0), _SQL_DIRECT) + named.format(t="direct"),
+        "neighbor_weight": _with(reads, _SQL_UNIQ, _sql_pairs(2), _SQL_BOTH) + "select key as seq, sum(b.cnt)::bigint as weight, count(*) as degree from both_ways b join uniq on uid = a group by key",
+        "cc_labels": _with(reads, _SQL_UNIQ, _sql_pairs(2), _SQL_BOTH, _SQL_REACH, _SQL_LABEL) + "select x.key as seq, y.key as label from label join uniq x on x.uid = node join uniq y on y.uid = component where node in (select a from both_ways)",
+        "mp_clusters": mp + sizes,
+        "mp_lists": mp + "select c.name as canonical, string_agg(u.name, ',' order by u.name) as members, array_to_string(list_sort(flatten(list(u.ids))), ',') as read_ids from canon a join uniq u on u.uid = a.uid join uniq c on c.uid = a.canonical group by c.name",
+        "mp_tidy": mp + "select r.read_id, u.name as seq, c.name as canonical from reads r join uniq u on u.seq = r.seq join canon a on a.uid = u.uid join uniq c on c.uid = a.canonical",
+        "mp_nonredundant": mp + f"select s.canonical, s.size, u.header from ({sizes}) s join uniq u on u.name = s.canonical",
+        "mp_paired": paired_mp + sizes,
+        "sphere_clusters": cc + sizes,
+        "cc_clusters": cc + sizes,
+        "umi_clusters": umi + "select concat(tag, a.canonical, t.tail) as canonical, tag as tag_canonical, concat(a.canonical, t.tail) as seq_canonical, count(*) as size, string_agg(read_id, ',' order by read_id) as read_ids from assigned a join tails t on t.canonical = a.canonical group by tag, a.canonical, t.tail",
+        "raw_round_trip": _with(reads) + f"select {ordered} as read_id, seq, read_id as cnt, null as header from reads",
+        "fasta_round_trip": _with(reads) + f"select {ordered} as read_id, seq, 1::bigint as cnt, concat('>', read_id, ' ', header) as header from reads",
+        "fastq_round_trip": _with(reads) + f"select {ordered} as read_id, seq, 1::bigint as cnt, concat('@', read_id, ' ', header) as header from reads",
+        "paired_files": _with(_sql_reads(mate=_mate("varchar"))) + f"select {ordered} as read_id, seq, mate as seq2, concat('@', read_id) as header2 from reads",
+        "stream_collapse": base + "select seq, cnt, first_read_id from uniq",
+    }

@@ -66,13 +66,17 @@ def cluster(reads: DataFrame, distance: int | None = None, ratio: float = 5.0, a
     if distance is not None and distance > strings.MAX_DISTANCE:
         raise ValueError(f"distance must be at most {strings.MAX_DISTANCE}")
     ship.ensure(reads.sparkSession)
-    reads = materialize(sources.normalize(reads, validate, on_invalid, fold_case), "reads")
+    reads = sources.normalize(reads, validate, on_invalid, fold_case)
     uniq = materialize(collapse.ranked(collapse.collapse(reads, with_ids, with_info)), "uniq")
-    if uniq.isEmpty():
+    shapes = uniq.groupBy("len", F.col("seq2").isNotNull().alias("mates")).agg(F.count("*").alias("n")).collect()
+    if not shapes:
         raise sources.InvalidInput("input file empty")
+    paired = any(r["mates"] for r in shapes)
     if distance is None or distance < 0:
-        distance = strings.auto_distance(strings.median_length(uniq))
-    paired = not uniq.where("seq2 is not null").isEmpty()
+        histogram = {}
+        for r in shapes:
+            histogram[r["len"]] = histogram.get(r["len"], 0) + r["n"]
+        distance = strings.auto_distance(strings.median_length(sorted(histogram.items())))
     found = similarity.similar_pairs(uniq, distance, wildcard, paired, ratio if algorithm == "mp" else None)
     found = materialize(found, "pairs")
     if algorithm == "mp":

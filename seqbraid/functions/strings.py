@@ -55,20 +55,17 @@ def segment_lengths(median: int, most: int) -> list[int]:
     return [width - 1 if i < short else width for i in range(most + 1)]
 
 
-def median_length(uniq: DataFrame) -> int:
-    """The least length that half of the unique strings don't exceed; 1 for a single string.
-
-    The driver sees a histogram of lengths.
-    """
-    rows = sorted((r["len"], r["n"]) for r in uniq.groupBy("len").agg(F.count("*").alias("n")).collect())
-    total, seen = sum(n for _, n in rows), 0
-    for length, n in rows:
-        if length < 1:
-            continue
-        if not seen and total // 2 == 0:
-            return 1
-        seen += n
-        if seen >= total // 2:
+def length_histogram(uniq: DataFrame) -> list[tuple[int, int]]:
+    """(length, how many unique strings), by length."""
+    return sorted((r["len"], r["n"]) for r in uniq.groupBy("len").agg(F.count("*").alias("n")).collect())
+
+
+def median_length(histogram: list[tuple[int, int]]) -> int:
+    """The least length that half of the unique strings don't exceed; 1 for a single string."""
+    half, seen = sum(n for _, n in histogram) // 2, 0
+    for length, n in histogram if half else []:
+        seen += n if length else 0
+        if length and seen >= half:
             return length
     return 1
 

@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         now = materialize(_small_star(_large_star(now)).where("a <> b").distinct(), "star")
         new = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
-        if new == mark:
+        if new == mark or not new[0]:
             break
         mark = new
     else:

@@ -37,19 +37,21 @@ def propagate(uniq: DataFrame, direct: DataFrame) -> DataFrame:
     Rounds of joins from the roots down; a round decides every child whose parents
     are decided, so there are as many as the longest chain of parents.
     """
-    children = direct.select(F.col("child").alias("uid")).distinct()
-    state = materialize(uniq.select("uid").join(children, "uid", "left_anti").select("uid", F.col("uid").alias("canonical")), "roots")
-    parents = materialize(direct.select("child", "parent"), "parents")
-    need = materialize(parents.groupBy("child").agg(F.count("*").alias("need")), "need")
-    while True:
+    need = direct.groupBy("child").agg(F.count("*").alias("need"))
+    left = need.count()
+    state = uniq.select("uid").join(need.select(F.col("child").alias("uid")), "uid", "left_anti").select("uid", F.col("uid").alias("canonical"))
+    while left:
         open_ = need.join(state.select(F.col("uid").alias("child")), "child", "left_anti")
-        known = parents.join(open_, "child").join(state.withColumnRenamed("uid", "parent"), "parent")
+        known = direct.join(open_, "child").join(state.withColumnRenamed("uid", "parent"), "parent")
         found = known.groupBy("child", "need").agg(F.count("*").alias("got"), F.count("canonical").alias("sure"), F.min("canonical").alias("low"), F.max("canonical").alias("high"))
         one = (F.col("sure") == F.col("need")) & (F.col("low") == F.col("high"))
         new = materialize(found.where("got = need").select(F.col("child").alias("uid"), F.when(one, F.col("low")).alias("canonical")), "round")
-        if new.isEmpty():
-            return state
-        state = materialize(state.unionByName(new), "state")
+        done = new.count()
+        if not done:
+            raise ValueError("the parents form a circle")
+        left -= done
+        state = state.unionByName(new)
+    return state
 
 
 def resolve(counts: dict[int, int], spheres: dict[int, int], canonical: dict[int, int], todo: list[int], parents: dict[int, list[int]]) -> dict[int, int]:
@@ -108,7 +110,7 @@ def _resolve_group(rows: pd.DataFrame) -> pd.DataFrame:
 def message_passing(uniq: DataFrame, pairs: DataFrame, ratio: float = 5.0) -> DataFrame:
     """(uid, canonical) of every record of ``uniq`` (uid, cnt) under ``pairs`` (a, b, dist)."""
     direct = materialize(direct_parents(oriented(pairs, uniq, ratio)), "direct")
-    state = propagate(uniq, direct)
+    state = materialize(propagate(uniq, direct), "state")
     open_ = state.where("canonical is null").select("uid")
     if open_.isEmpty():
         return state

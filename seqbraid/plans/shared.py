@@ -7,6 +7,8 @@ tasks it ran and nothing that is already written.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex
 _OWN: dict[str, str] = {}
+_USED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/seqbraid-{_RUN}/{uuid.uuid4().hex}-{name}"
+    folder = f"{shared_dir(spark)}/seqbraid-{_RUN}"
+    if not _USED:
+        atexit.register(_forget)
+    _USED.add(folder)
+    return f"{folder}/{uuid.uuid4().hex}-{name}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +53,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _forget() -> None:
+    """At the end of the process: its tables are of no further use."""
+    spark = SparkSession.getActiveSession()
+    for folder in _USED:
+        if spark is not None:
+            try:
+                _delete(spark, folder)
+                continue
+            except Exception:  # the JVM may be gone already
+                pass
+        if folder.startswith(("/", "file:")):
+            shutil.rmtree(folder.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all tables this process wrote; results still to be read go too."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/seqbraid-{_RUN}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/seqbraid-{_RUN}")

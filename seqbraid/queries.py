@@ -92,7 +92,7 @@ def length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def auto_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    median = strings.median_length(_uniq(spark, sf_dir))
+    median = strings.median_length(strings.length_histogram(_uniq(spark, sf_dir)))
     return spark.createDataFrame([(median, strings.auto_distance(median))], "median long, distance long")
 
 

@@ -57,9 +57,9 @@ class Classifier:
 
     def sizes(self, text: str) -> list[int] | None:
         """Compressed bytes for each language; None: no letter."""
-        data = letters(text)
-        if not data.strip():
+        if not any(map(str.isalpha, text)):
             return None
+        data = letters(text)
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         return [sum([len(p.compress(b)) for b in blocks]) for p in self.pack]
 

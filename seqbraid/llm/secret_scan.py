@@ -77,8 +77,8 @@ def postings(docs: DataFrame, keys: list[str], terms: list[str]) -> DataFrame:
 def candidates(index: DataFrame, keys: list[str], queries: dict[int, list[frozenset[str]]]) -> DataFrame:
     """(keys, rules): the numbers of the rules whose query a document's postings meet."""
     wanted = [(n, a, t, len(grams)) for n, query in queries.items() for a, grams in enumerate(query) for t in sorted(grams)]
-    spark = index.sparkSession
-    table = spark.createDataFrame(wanted, "rule int, alternative int, trigram string, need long")
+    rows = [F.struct(F.lit(n).alias("rule"), F.lit(a).alias("alternative"), F.lit(t).alias("trigram"), F.lit(need).alias("need")) for n, a, t, need in wanted]
+    table = index.sparkSession.range(1).select(F.inline(F.array(*rows)))
     met = index.join(F.broadcast(table), "trigram").groupBy(*keys, "rule", "alternative", "need").agg(F.count("*").alias("got")).where("got = need")
     return met.groupBy(*keys).agg(F.collect_set("rule").alias("rules"))
 

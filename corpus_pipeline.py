@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqbraid.llm import decontaminate, language_id, near_dedup, registry, secret_scan, sentencepieces
 from seqbraid.plans import ship
@@ -28,9 +28,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark; n_chars stays the length of the text as it came."""
+    """Secrets in the texts are replaced by a mark, and n_chars follows."""
     ship.ensure(spark)
-    return secret_scan.redact(docs)
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else clean
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

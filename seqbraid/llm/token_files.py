@@ -9,16 +9,20 @@ the end of a file and then decompresses the frames it wants, nothing else.
 Texts are cut at single spaces between two characters that aren't white space.
 The tokenizer's own splitting always begins a new piece there, so equal parts
 have equal ids wherever they stand and a worker encodes each distinct part once,
-many parts to a call; a token that begins with the space begins a part.
+many parts to a call; a token that begins with the space begins a part.  Of a part
+that is letters and then punctuation, which the splitting would cut in just these
+two, the letters are encoded apart, without the splitting.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +35,16 @@ from seqbraid.plans.shared import materialize, new_path
 
 END_ID = 2
 ROWS_PER_FILE = 8192
-#: Parts that a worker remembers; the memory starts afresh beyond.
+#: Parts that a worker remembers; beyond, the later half is forgotten.
 CACHE = 1_200_000
 #: Parts that one call encodes end to end.
 JOINED = 500
+#: Letters of U+0041 to U+024F, and ASCII punctuation.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The tokenizer's letter for each byte: printable Latin-1 stands for itself, the rest for U+0100 and on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _INDEX_MAGIC, _SEEK_MAGIC, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
@@ -43,21 +53,26 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.spaced = np.array([x.startswith("Ġ") for x in tokens])
+        self.letters = Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = pre_tokenizers.Split("Ġ", "merged_with_next")
         self.later: dict[str, bytes | None] = {}  # of " " + part; None: it touches more white space
         self.whole: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _joined(self, parts: list[str]) -> Iterator[bytes]:
-        """Ids of " " + part for parts that may be encoded alone."""
+    def _joined(self, parts: list[str], letters: bool = False) -> Iterator[bytes]:
+        """Ids of " " + part for parts that may be encoded alone; ``letters``: they need no splitting."""
         chunks = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(x) for x in chunks], add_special_tokens=False)
+        texts = [" " + " ".join(x) for x in chunks]
+        if letters:
+            texts = [x.replace(" ", "Ġ") if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LETTERS) for x in texts]
+        found = (self.letters if letters else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         for chunk, one in zip(chunks, found, strict=True):
             ids = np.array(one.ids, "<u4")
             at = np.flatnonzero(self.spaced[ids])
@@ -77,20 +92,42 @@ class Encoder:
                 parts[-1] += f" {part}"
         return parts
 
+    def _learn(self, new: set[str]) -> None:
+        later, ends = self.later, {"": b""}
+        plain, other, split, rest = set(), set(), [], []
+        for part in new:
+            word = part.rstrip(_PUNCTUATION)
+            if word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)):
+                if word is not part:
+                    end = part[len(word) :]
+                    ends.setdefault(end)
+                    split.append((part, word, end))
+                    if word in later:
+                        continue
+                (plain if word.isascii() else other).add(word)
+            elif part and not part[0].isspace() and not part[-1].isspace():
+                rest.append(part)
+            else:
+                later[part] = None
+        for words in (list(plain), list(other)):
+            later.update(zip(words, self._joined(words, letters=True), strict=True))
+        later.update(zip(rest, self._joined(rest), strict=True))
+        unseen = [x for x, ids in ends.items() if ids is None]
+        ends.update(zip(unseen, self._ids(unseen), strict=True))
+        later.update([(part, later[word] + ends[end]) for part, word, end in split])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) > CACHE:
-            self.later.clear()
+        if len(self.later) > CACHE:  # what came first is mostly what comes often
+            self.later = dict(islice(self.later.items(), CACHE // 2))
         if len(self.whole) > CACHE:
             self.whole.clear()
         split = [x.split(" ") for x in texts]
         heads = [x.pop(0) for x in split]
         new: set[str] = set()
+        known = self.later.__contains__
         for rest in split:
-            new.update(rest)
-        new.difference_update(self.later)
-        clean = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
-        self.later.update(dict.fromkeys(new))
-        self.later.update(zip(clean, self._joined(clean), strict=True))
+            new.update(filterfalse(known, rest))
+        self._learn(new)
         out: list[bytes | None] = []
         slow: list[tuple[int, list[str]]] = []
         get = self.later.__getitem__

@@ -35,6 +35,12 @@ _END = ""  # stands for a text's end, as no word is empty
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _plus(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    low, high = (a, b) if a < b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
 class Lattice:
     """Pieces and their log10 weights, and sums over all segmentations."""
 
@@ -51,6 +57,7 @@ class Lattice:
             found.sort()
             self.by_length[n] = np.array([h for h, _ in found], np.uint64), np.array([i for _, i in found], np.int64)
         self.longest = max(lengths, default=1)
+        self.openings = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.ndarray:
@@ -89,11 +96,45 @@ class Lattice:
                     out[start, 1] = np.concatenate([kept[0], rows]), np.concatenate([kept[1], np.full(len(rows), -1)]), np.concatenate([kept[2], each[back]])
         return out
 
+    def _steps(self, word: str, start: int) -> Iterator[tuple[int, list[int], float]]:
+        """(end, piece ids, natural log weight) of each piece that begins at ``start``."""
+        for end in range(start + 1, min(len(word), start + self.longest) + 1):
+            text = word[start:end]
+            if text in self.ids:
+                yield end, [self.ids[text]], float(self.logs[self.ids[text]]) * math.log(10)
+            elif end == start + 1:
+                spelled = self._bytes_of(text)
+                yield end, spelled, float(self.logs[spelled].sum()) * math.log(10)
+            if text not in self.openings:
+                return
+
+    def _forward_one(self, word: str, count: float | None) -> tuple[float, np.ndarray]:
+        """``forward`` of one long word, position by position."""
+        n = len(word)
+        ahead, used = [-math.inf] * (n + 1), np.zeros(len(self.pieces))
+        ahead[0] = 0.0
+        for start in range(n):
+            for end, _, log in self._steps(word, start):
+                ahead[end] = _plus(ahead[end], ahead[start] + log)
+        if count is not None:
+            behind = [-math.inf] * (n + 1)
+            behind[n] = 0.0
+            for start in range(n - 1, -1, -1):
+                for end, ids, log in self._steps(word, start):
+                    behind[start] = _plus(behind[start], behind[end] + log)
+                    share = count * math.exp(ahead[start] + log + behind[end] - ahead[n])
+                    for i in ids:
+                        used[i] += share
+        return ahead[n], used
+
     def forward(self, words: list[str], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log10 sums over all segmentations of marked words, all about equally long.
 
         With counts, also the expected number of times that each piece is used.
         """
+        if len(words) == 1 and len(words[0]) > TOGETHER:
+            total, used = self._forward_one(words[0], None if counts is None else float(counts[0]))
+            return np.array([total / math.log(10)]), used
         lengths = np.array([len(w) for w in words])
         width = int(lengths.max())
         codes = np.zeros((len(words), width), np.uint64)

@@ -37,8 +37,8 @@ def corpus():
         (106, sentence(rng, "en", 30_000), "en"),
         (107, "x" * 200_000, "en"),
         (108, "  doubled  spaces and   odd\x0bbreaks\r\n ünïcödé 日本語 🤦🏼‍♂️ ", "de"),
-        (109, rows[0][1], "en"),
-        (109, rows[0][1], "en"),
+        (109, rows[0][1], rows[0][2]),
+        (109, rows[0][1], rows[0][2]),
         (110, "12345 ... !!!", "en"),
     ]
     return rows

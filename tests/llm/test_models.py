@@ -107,6 +107,10 @@ def test_lattice_sums_all_segmentations():
     words = ["▁" + "".join(w) for n in range(5) for w in itertools.product("abé", repeat=n)]
     got, used = lattice.forward(words, np.ones(len(words)))
     assert np.allclose(got, [math.log10(total(w)) for w in words])
+    for i in (0, 7, len(words) - 1):
+        one, of_one = lattice._forward_one(words[i], 2.0)
+        assert math.isclose(one / math.log(10), got[i], rel_tol=1e-9)
+        assert np.allclose(of_one, lattice.forward([words[i]], np.array([2.0]))[1])
     lengths = np.array([len(p) for p in pieces[:6]])
     assert abs(used[:6] @ lengths + used[6] / 2 - sum(len(w) for w in words)) < 1e-6
     assert sorted(i for g in lattice.batches(words + ["▁" + "a" * 300]) for i in g) == list(range(len(words) + 1))

@@ -288,3 +288,24 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     gone = near_duplicates(docs, id_col, text_col, k, num, den).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
+def near_duplicates_sql(table: str = "documents", k: int = 3, num: int = 85, den: int = 100) -> str:
+    """``near_duplicates`` as DuckDB SQL: all pairs that share a shingle, then reachability.
+
+    For tables small enough to join the shingles with themselves.
+    """
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    run = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return (
+        f"with recursive words as (select doc_id, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') as w from {table} where doc_id is not null), "
+        f"shingles as (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < {k} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {k - 2}), lambda i: {run}) end) as g from words), "
+        "sizes as (select doc_id, count(*) as n from shingles group by doc_id), "
+        "shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all), "
+        f"links as (select x, y from shared join sizes sx on sx.doc_id = x join sizes sy on sy.doc_id = y where {den} * c >= {num} * (sx.n + sy.n - c)), "
+        "both_ways as (select x, y from links union all select y, x from links), "
+        "reach(node, got) as (select doc_id, doc_id from sizes union select r.node, b.y from reach r join both_ways b on b.x = r.got), "
+        "least as (select node, min(got) as low from reach group by node) "
+        "select w.doc_id, coalesce(s.n, 0)::bigint as n_shingles, coalesce(l.low, w.doc_id) as component_id, coalesce(l.low, w.doc_id) = w.doc_id as kept "
+        "from words w left join sizes s on s.doc_id = w.doc_id left join least l on l.node = w.doc_id"
+    )

@@ -78,4 +78,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secret_scan": secret_scan.report_sql(), "op10_warc": warc.deduplicated_sql()}
+    return {"op5_near_dedup": near_dedup.near_duplicates_sql(), "op8_secret_scan": secret_scan.report_sql(), "op10_warc": warc.deduplicated_sql()}

@@ -49,14 +49,17 @@ _INDEX_MAGIC, _SEEK_MAGIC, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts as little-endian unsigned integers of ``width`` bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 4):
+        self.width, self.kind, self.code = width, f"<u{width}", {2: "H", 4: "I"}[width]
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        if len(tokens) > 1 << 8 * width:
+            raise ValueError(f"{len(tokens)} ids don't fit in {width} bytes")
         self.spaced = np.array([x.startswith("Ġ") for x in tokens])
         self.letters = Tokenizer.from_file(path)
         self.letters.pre_tokenizer = pre_tokenizers.Split("Ġ", "merged_with_next")
@@ -64,7 +67,7 @@ class Encoder:
         self.whole: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _joined(self, parts: list[str], letters: bool = False) -> Iterator[bytes]:
         """Ids of " " + part for parts that may be encoded alone; ``letters``: they need no splitting."""
@@ -74,12 +77,12 @@ class Encoder:
             texts = [x.replace(" ", "Ġ") if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LETTERS) for x in texts]
         found = (self.letters if letters else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         for chunk, one in zip(chunks, found, strict=True):
-            ids = np.array(one.ids, "<u4")
+            ids = np.array(one.ids, self.kind)
             at = np.flatnonzero(self.spaced[ids])
             if len(at) != len(chunk):
                 yield from self._ids([f" {x}" for x in chunk])
                 continue
-            raw, at = ids.tobytes(), [*(at * 4).tolist(), 4 * len(ids)]
+            raw, at = ids.tobytes(), [*(at * self.width).tolist(), self.width * len(ids)]
             yield from map(raw.__getitem__, map(slice, at, at[1:]))
 
     def _careful(self, head: str, rest: list[str]) -> list[str]:
@@ -148,24 +151,24 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, width: int) -> Encoder:
     """The worker's encoder; Spark keeps workers from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, width) not in _encoders:
+        _encoders[path, width] = Encoder(path, width)
+    return _encoders[path, width]
 
 
 def _frames(path: str, bounds: np.ndarray, width: int) -> Iterator:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, kind = struct.pack("<I", END_ID), f"<u{width}"
+        end = np.array([END_ID], f"<u{width}").tobytes()
         pack = zstandard.ZstdCompressor(level=1, write_checksum=True)
         for part in textkit.slices(batches, "text"):
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             texts = [x or "" for x in part.column("text").to_pylist()]
-            data = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in encoder(path).encode(texts)]
+            data = [x + end for x in encoder(path, width).encode(texts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.searchsorted(bounds, ids, "left"), pa.int32()), part.column("doc_id"), pa.array([len(x) // width for x in data], pa.int64()), pa.array([xxhash.xxh64_intdigest(x) & 0xFFFFFFFF for x in data], pa.int64()), pa.array([pack.compress(x) for x in data], pa.binary())],
                 ["bucket", "doc_id", "n_tokens", "checksum", "frame"],

@@ -134,7 +134,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("quality")).dropna()
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != held_out)
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(labelled_rows)
+    chosen = textkit.thinned(known, labelled_rows).orderBy("_hash", "doc_id", "quality").limit(labelled_rows).select("doc_id", "quality")
     rows = own.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_encode, "quality int, ids binary, x binary").collect()  # bounded by labelled_rows
     rows.sort(key=lambda r: (r["quality"], r["ids"], r["x"]))
     label = np.array([r["quality"] == 1 for r in rows], float)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of text handled at once; a longer text is handled alone and whole.
 SLICE_BYTES = 4 << 20
@@ -66,6 +67,18 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def thinned(labelled: DataFrame, rows: int) -> DataFrame:
+    """About twice ``rows`` of the rows (or all), those of the smallest hashes of doc_id, with the hash.
+
+    So what the driver then sorts and cuts to ``rows`` has the same size however
+    many rows and partitions there are.
+    """
+    total = labelled.count()
+    most = min(1.0, (2 * rows + 1000) / max(total, 1))
+    hashed = labelled.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    return hashed.where(F.col("_hash") <= most * (1 << 40))
+
+
 @dataclass
 class Words:
     data: np.ndarray  # bytes, lower-cased if asked for

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 _UPPER, _DIGITS, _MARKS = bytes(range(65, 91)), b"0123456789", b"!?.,;:"
 _SYMBOLS = "#*$%&|<>"
+#: Words in which different ones are counted, so that the ratio doesn't fall with length.
+WINDOW = 200
 
 #: Ratios of ``ratios``, none of which depends on language or length alone.
 RATIOS = ("word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "marks", "distinct", "adjacent", "single")
@@ -31,13 +33,26 @@ def counts(text: str) -> tuple[tuple[int, int, int, int, int], tuple[float, ...]
         (len(data) - len(data.translate(None, _UPPER))) / size,
         (len(data) - len(data.translate(None, _DIGITS))) / size,
         (len(data) - len(data.translate(None, _MARKS))) / size,
-        len(set(words[:200])) / max(min(n, 200), 1),
+        _distinct(words),
         sum(map(bytes.__eq__, words, words[1:])) / max(n, 1),
         sum(1 for x in words if len(x) == 1) / max(n, 1),
     )
     return (n, chars, symbols, dup_lines, repeats), ratios
 
 
+def _distinct(words: list[bytes]) -> float:
+    """Share of different words in windows of WINDOW words, on average over all words.
+
+    The last window ends with the text and weighs as many words as it adds.
+    """
+    n = len(words)
+    if n <= WINDOW:
+        return len(set(words)) / max(n, 1)
+    full = n - n % WINDOW
+    found = sum(len(set(words[i : i + WINDOW])) for i in range(0, full, WINDOW))
+    return (found + len(set(words[-WINDOW:])) * (n - full) / WINDOW) / n
+
+
 def _repeat_words(words: list[bytes]) -> int:
     """Words that stand in some 3-word window found twice or more in the text."""
     windows = list(zip(words, words[1:], words[2:]))

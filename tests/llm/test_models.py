@@ -42,6 +42,17 @@ def test_rule_counts_equal_brute_force(corpus):
         assert textstats.counts(text or "")[0] == brute_counts(text)
 
 
+def test_distinct_words_of_the_whole_text():
+    rng = random.Random(8)
+    at = textstats.RATIOS.index("distinct")
+    rich, poor = [f"w{i}" for i in range(2000)], [rng.choice("abcdefghijklmnopqrst") for _ in range(2000)]
+    value = lambda words: textstats.counts(" ".join(words))[1][at]
+    assert value(rich) == value(rich[:200]) == value(rich[:1001]) == 1
+    assert value(rich[:200] + poor) < 0.25 and value(poor[:200] + rich) > 0.85
+    assert value(rich[:200] + poor[:100]) < value(rich[:200])
+    assert math.isclose(value(["a"] * 250), 1 / 200) and value([]) == 0 and value(["a", "b", "a"]) == 2 / 3
+
+
 def labelled(spark):
     rng = random.Random(9)
     rows, labels = [], []

@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Texts are compared as sequences of words: lower case, ASCII punctuation as space.
-Each test item has seeds, those of its n-grams that fewest items share.  A document
-that holds a seed is aligned with the item around it by Smith-Waterman, word by
-word; if the best local score reaches a share of what the whole item would give,
+All n-grams of a test item are its seeds, shared with other items or not.  Around a
+seed that a document holds, it is aligned with the item by Smith-Waterman, word by
+word, unless they have too few words in common; if the best local score reaches a share of what the whole item would give,
 the document holds the item, copied, edited or partly reworded.
 
 The items are the query set.  They are taken in blocks of bounded size, each block
@@ -13,7 +13,6 @@ of any size stays where it is.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,13 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 from seqbraid.llm import textkit
 
 SEED_WORDS = 4
-#: Items share of a seed at most, unless all of an item's n-grams are more common.
-RARE = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Of the score that a full copy gives.  With a fifth of its words replaced an item keeps 0.7.
 MIN_SHARE = 0.7
 #: Bytes of test items in a block, which is what a task holds beside its slice.
 BLOCK_BYTES = 8 << 20
+#: Places where a seed meets an item, held at once; those of a single text are held whole.
+HITS = 1 << 19
 
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
@@ -63,36 +62,40 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def seed_words(n: int, min_share: float) -> int:
+    """Words of the seeds of an item of n words, SEED_WORDS at most.
+
+    Each replaced or missing word costs 3 of 2 n points, so ``min_share`` bounds how
+    many there are, and the longest run between them has at least so many words.
+    """
+    edits = int((1 - min_share) * MATCH * n / (MATCH - MISMATCH) + 1e-9)
+    return max(1, min(SEED_WORDS, -(-(n - edits) // (edits + 1))))
+
+
 class Index:
-    """Seeds of a block of items: for each seed length, sorted hashes and their (item, place)."""
+    """Seeds of a block of items, all their n-grams: for each seed length, sorted hashes and their (item, place)."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], min_share: float = MIN_SHARE):
         table = plain(pa.array([t for _, t in items], pa.large_string()))
         self.ids = [i for i, _ in items]
         self.words = [table.hashes[a:b] for a, b in zip(table.first, table.first[1:], strict=False)]
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        grams = []
-        for words in self.words:
-            k = min(SEED_WORDS, len(words))
-            grams.append((k, textkit.runs(words, k) if k else np.zeros(0, np.uint64)))
-        shared = Counter((k, int(g)) for k, each in grams for g in set(each.tolist()))
-        for n, (k, each) in enumerate(grams):
-            if not k:
-                continue
-            most = max(RARE, min(shared[k, int(g)] for g in each))
-            for place, g in enumerate(each.tolist()):
-                if shared[k, g] <= most:
-                    found.setdefault(k, []).append((g, n, place))
+        self.bags = [np.unique(words, return_counts=True) for words in self.words]
+        self.min_share = min_share
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for n, words in enumerate(self.words):
+            if len(words):
+                k = seed_words(len(words), min_share)
+                grams = textkit.runs(words, k)
+                found.setdefault(k, []).append((grams, np.full(len(grams), n), np.arange(len(grams))))
         self.seeds = {}
         for k, rows in found.items():
-            rows.sort()
-            self.seeds[k] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-
-    def search(self, table: textkit.Words, n: int, min_share: float) -> list[tuple[int, int, float, int, int]]:
-        """(text, item number, share, first word, words) of each item found in each of n texts."""
-        met = []
-        if not len(table.starts):
-            return []
+            keys, item, place = map(np.concatenate, zip(*rows, strict=True))
+            order = np.argsort(keys, kind="stable")
+            self.seeds[k] = keys[order], item[order], place[order]
+
+    def _met(self, table: textkit.Words) -> Iterator[np.ndarray]:
+        """(text, item number, first word of the item if it stands there), each once, by whole texts; about HITS rows at once."""
+        parts = []
         for k, (keys, item, place) in self.seeds.items():
             grams = textkit.runs(table.hashes, k)
             if not len(grams):
@@ -101,43 +104,67 @@ class Index:
             at = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == grams)
             text = np.searchsorted(table.first, at, "right") - 1
             at, text = at[inside := at + k <= table.first[text + 1]], text[inside]
-            high = np.searchsorted(keys, grams[at], "right")
-            times = high - low[at]
-            which = np.repeat(low[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            met.append(np.column_stack([np.repeat(text, times), item[which], np.repeat(at, times) - place[which]]))
-        if not met:
-            return []
-        hits = np.unique(np.concatenate(met), axis=0)
+            parts.append((text, at, low[at], np.searchsorted(keys, grams[at], "right") - low[at], item, place))
+        size = np.zeros(len(table.first), np.int64)
+        for text, _, _, times, _, _ in parts:
+            np.add.at(size, text, times)
+        total = np.cumsum(size)
+        start = 0
+        while start < len(size):
+            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + HITS, "right")))
+            met = []
+            for text, at, low, times, item, place in parts:
+                a, b = np.searchsorted(text, [start, end])
+                many = times[a:b]
+                which = np.repeat(low[a:b], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                met.append(np.column_stack([np.repeat(text[a:b], many), item[which], np.repeat(at[a:b], many) - place[which]]))
+            hits = np.concatenate(met) if met else np.zeros((0, 3), np.int64)
+            if len(hits):
+                hits = hits[np.lexsort(hits.T[::-1])]
+                yield hits[np.concatenate([[True], np.any(np.diff(hits, axis=0) != 0, axis=1)])]
+            start = end
+
+    def _could(self, item: int, text: np.ndarray) -> bool:
+        """Whether the words that item and text share, in any order, could reach the share: matches are among them."""
+        keys, times = self.bags[item]
+        at = np.minimum(np.searchsorted(keys, text), len(keys) - 1)
+        there = np.bincount(at[keys[at] == text], minlength=len(keys))
+        return np.minimum(there, times).sum() >= self.min_share * len(self.words[item]) - 1e-9
+
+    def search(self, table: textkit.Words) -> list[tuple[int, int, float, int, int]]:
+        """(text, item number, share, first word, words) of each item found in each text."""
         out = []
-        edges = np.flatnonzero(np.any(np.diff(hits[:, :2], axis=0) != 0, axis=1)) + 1
-        for group in np.split(hits, edges) if len(hits) else []:
-            text, item = int(group[0, 0]), int(group[0, 1])
-            words = self.words[item]
-            first, last = int(table.first[text]), int(table.first[text + 1])
-            slack = max(4, len(words) // 2)
-            best = (0, 0)
-            start = end = -1
-            for begin in [*group[:, 2].tolist(), None]:
-                if begin is not None and end >= 0 and begin - slack <= end:
-                    end = begin + len(words) + slack
-                    continue
-                if end >= 0:
-                    a, b = max(first, start), min(last, end)
-                    score, stop = align(words, table.hashes[a:b])
-                    best = max(best, (score, a + stop - first), key=lambda x: x[0])
-                if begin is not None:
-                    start, end = begin - slack, begin + len(words) + slack
-            share = best[0] / (MATCH * len(words))
-            if share >= min_share:
-                out.append((text, item, share, best[1], len(words)))
+        for hits in self._met(table):
+            edges = np.flatnonzero(np.any(np.diff(hits[:, :2], axis=0) != 0, axis=1)) + 1
+            for group in np.split(hits, edges):
+                text, item = int(group[0, 0]), int(group[0, 1])
+                words = self.words[item]
+                first, last = int(table.first[text]), int(table.first[text + 1])
+                slack = max(4, len(words) // 2)
+                best = (0, 0)
+                start = end = -1
+                for begin in [*group[:, 2].tolist(), None]:
+                    if begin is not None and end >= 0 and begin - slack <= end:
+                        end = begin + len(words) + slack
+                        continue
+                    if end >= 0:
+                        a, b = max(first, start), min(last, end)
+                        if self._could(item, table.hashes[a:b]):
+                            score, stop = align(words, table.hashes[a:b])
+                            best = max(best, (score, a + stop - first), key=lambda x: x[0])
+                    if begin is not None:
+                        start, end = begin - slack, begin + len(words) + slack
+                share = best[0] / (MATCH * len(words))
+                if share >= self.min_share:
+                    out.append((text, item, share, best[1], len(words)))
         return out
 
 
 def _search(items: list[tuple[int, str]], min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        index = Index(items, min_share)
         for part in textkit.slices(batches, "text"):
-            found = index.search(plain(part.column("text")), part.num_rows, min_share)
+            found = index.search(plain(part.column("text")))
             rows = pa.array([f[0] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), pa.array([index.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())], ["doc_id", "item_id", "similarity", "end_word", "item_words"])
 
@@ -175,10 +202,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def _drop(items: list[tuple[int, str]], text_col: str, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        index = Index(items, min_share)
         for part in textkit.slices(batches, text_col):
             kept = np.ones(part.num_rows, bool)
-            kept[[f[0] for f in index.search(plain(part.column(text_col)), part.num_rows, min_share)]] = False
+            kept[[f[0] for f in index.search(plain(part.column(text_col)))]] = False
             yield part.filter(pa.array(kept))
 
     return run

@@ -213,6 +213,41 @@ def test_leaks(spark, docs, corpus, no_docs):
     assert dc.find_leaks(no_docs, bench).count() == 0 and dc.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_items_that_share_wording(spark):
+    rng = random.Random(13)
+    shared = [f"s{i}" for i in range(40)]
+    items = [(i, " ".join([*shared[:20], f"only{i}", *shared[20:]])) for i in range(4)] + [(4, "five words of one item"), (5, "a b c d e f g h i j")]
+    copy = items[2][1].split()
+    copy[20] = "other"
+    texts = [(0, " ".join([sentence(rng, "en", 50), *copy, sentence(rng, "en", 50)])), (1, "five words if one item"), (2, "a b c X e f g Y i j"), (3, " ".join(shared[:8]))]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = [(0, 0), (0, 1), (0, 2), (0, 3), (1, 4), (2, 5)]
+    for size in (dc.BLOCK_BYTES, 50):
+        got = dc.find_leaks(df, bench, block_bytes=size).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in got) == want
+        assert [r["doc_id"] for r in dc.drop_leaks(df, bench, block_bytes=size).collect()] == [3]
+
+
+def test_leaks_equal_alignment_with_every_item():
+    rng = random.Random(14)
+    words = WORDS["en"][:40]
+    items = [" ".join(rng.choices(words, k=rng.randint(1, 25))) for _ in range(30)]
+    texts = []
+    for _ in range(150):
+        copy = rng.choice(items).split()
+        for _ in range(rng.randint(0, 1 + len(copy) // 4)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(rng.choices(words, k=5) + copy + rng.choices(words, k=5)))
+    table, index = dc.plain(pa.array(texts)), dc.Index(list(enumerate(items)))
+    got = {(f[0], f[1]) for f in index.search(table)}
+    for n, (a, b) in enumerate(zip(table.first, table.first[1:], strict=False)):
+        for i, item in enumerate(index.words):
+            share = dc.align(item, table.hashes[a:b])[0] / (dc.MATCH * len(item))
+            holds = dc.seed_words(len(item), dc.MIN_SHARE)
+            seeds = set(textkit.runs(item, holds).tolist()) & set(textkit.runs(table.hashes[a:b], holds).tolist())
+            assert ((n, i) in got) == bool(share >= dc.MIN_SHARE and seeds)
+
+
 def test_word_tables(corpus):
     texts = ["a b", "", None, " c", "d", "e\x0bf g "] + [t for _, t, _ in corpus]
     table = textkit.words(pa.array(texts))

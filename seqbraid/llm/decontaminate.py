@@ -4,7 +4,8 @@ Texts are compared as sequences of words: lower case, ASCII punctuation as space
 All n-grams of a test item are its seeds, shared with other items or not.  Around a
 seed that a document holds, it is aligned with the item by Smith-Waterman, word by
 word, unless they have too few words in common; if the best local score reaches a share of what the whole item would give,
-the document holds the item, copied, edited or partly reworded.
+the document holds the item, copied, edited or partly reworded.  So it does if it
+holds a long passage of it nearly word by word.
 
 The items are the query set.  They are taken in blocks of bounded size, each block
 in one pass over the documents, so no document is shuffled and a group of copies
@@ -27,6 +28,8 @@ SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Of the score that a full copy gives.  With a fifth of its words replaced an item keeps 0.7.
 MIN_SHARE = 0.7
+#: So many words of an item in a row also count as the item.  Around edits there must be PASSAGE_EDIT more for each edit.
+PASSAGE_WORDS, PASSAGE_EDIT = 32, 4
 #: Bytes of test items in a block, which is what a task holds beside its slice.
 BLOCK_BYTES = 8 << 20
 #: Places where a seed meets an item, held at once; those of a single text are held whole.
@@ -42,18 +45,18 @@ def plain(column: pa.Array) -> textkit.Words:
     return textkit.words(pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(flat)]))
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+def align(item: np.ndarray, text: np.ndarray, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int]:
     """Best local alignment score, and where in the text it ends.
 
     A gap costs the same for each word, so the best gap along the text is a running
     maximum of the scores, each raised by what the gap up to it would have cost.
     """
     before = np.zeros(len(text) + 1, np.int64)
-    slope = -GAP * np.arange(len(text) + 1)
+    slope = -gap * np.arange(len(text) + 1)
     best, end = 0, 0
     for word in item:
-        now = np.maximum(before + GAP, 0)
-        now[1:] = np.maximum(now[1:], before[:-1] + np.where(text == word, MATCH, MISMATCH))
+        now = np.maximum(before + gap, 0)
+        now[1:] = np.maximum(now[1:], before[:-1] + np.where(text == word, match, mismatch))
         now = np.maximum.accumulate(now + slope) - slope
         at = int(now.argmax())
         if now[at] > best:
@@ -94,7 +97,7 @@ class Index:
             self.seeds[k] = keys[order], item[order], place[order]
 
     def _met(self, table: textkit.Words) -> Iterator[np.ndarray]:
-        """(text, item number, first word of the item if it stands there), each once, by whole texts; about HITS rows at once."""
+        """(text, item number, first word of the item if it stands there, seeds that say so), by whole texts; about HITS rows at once."""
         parts = []
         for k, (keys, item, place) in self.seeds.items():
             grams = textkit.runs(table.hashes, k)
@@ -121,7 +124,8 @@ class Index:
             hits = np.concatenate(met) if met else np.zeros((0, 3), np.int64)
             if len(hits):
                 hits = hits[np.lexsort(hits.T[::-1])]
-                yield hits[np.concatenate([[True], np.any(np.diff(hits, axis=0) != 0, axis=1)])]
+                edges = np.flatnonzero(np.concatenate([[True], np.any(np.diff(hits, axis=0) != 0, axis=1)]))
+                yield np.column_stack([hits[edges], np.diff(edges, append=len(hits))])
             start = end
 
     def _could(self, item: int, text: np.ndarray) -> bool:
@@ -132,7 +136,11 @@ class Index:
         return np.minimum(there, times).sum() >= self.min_share * len(self.words[item]) - 1e-9
 
     def search(self, table: textkit.Words) -> list[tuple[int, int, float, int, int]]:
-        """(text, item number, share, first word, words) of each item found in each text."""
+        """(text, item number, share, end word, words) of each item found in each text.
+
+        A passage of M matched words and E edits has M - 3 (E + 1) seeds of four words
+        at least, so windows with fewer than PASSAGE_WORDS - 3 of them hold none.
+        """
         out = []
         for hits in self._met(table):
             edges = np.flatnonzero(np.any(np.diff(hits[:, :2], axis=0) != 0, axis=1)) + 1
@@ -141,22 +149,30 @@ class Index:
                 words = self.words[item]
                 first, last = int(table.first[text]), int(table.first[text + 1])
                 slack = max(4, len(words) // 2)
-                best = (0, 0)
+                best, passage = (0, 0), (0, 0)
                 start = end = -1
-                for begin in [*group[:, 2].tolist(), None]:
+                seeds = 0
+                for begin, times in [*group[:, 2:].tolist(), (None, 0)]:
                     if begin is not None and end >= 0 and begin - slack <= end:
                         end = begin + len(words) + slack
+                        seeds += times
                         continue
                     if end >= 0:
                         a, b = max(first, start), min(last, end)
-                        if self._could(item, table.hashes[a:b]):
+                        near = 0
+                        if len(words) >= PASSAGE_WORDS and seeds > PASSAGE_WORDS - SEED_WORDS:
+                            near, stop = align(words, table.hashes[a:b], 1, -PASSAGE_EDIT, -PASSAGE_EDIT)
+                            passage = max(passage, (near, a + stop - first), key=lambda x: x[0])
+                        if near >= PASSAGE_WORDS or self._could(item, table.hashes[a:b]):
                             score, stop = align(words, table.hashes[a:b])
                             best = max(best, (score, a + stop - first), key=lambda x: x[0])
                     if begin is not None:
-                        start, end = begin - slack, begin + len(words) + slack
+                        start, end, seeds = begin - slack, begin + len(words) + slack, times
                 share = best[0] / (MATCH * len(words))
                 if share >= self.min_share:
                     out.append((text, item, share, best[1], len(words)))
+                elif passage[0] >= PASSAGE_WORDS:
+                    out.append((text, item, share, passage[1], len(words)))
         return out
 
 
@@ -187,7 +203,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """doc_id, item_id, similarity, end_word, item_words: one row per document and item it holds.
 
     ``benchmark`` has item_id and text.  ``similarity`` is the alignment score over
-    that of a full copy; ``end_word``: where in the document the copy ends.  Null or
+    that of a full copy, which is under ``min_share`` where only a passage of
+    PASSAGE_WORDS words is found; ``end_word``: where in the document the copy ends.  Null or
     empty texts and items without a word hold nothing and are found nowhere; rows
     that repeat an id are searched each, with one row per item for each of them.  Items without an
     id, and other columns, are not used.

@@ -248,6 +248,20 @@ def test_leaks_equal_alignment_with_every_item():
             assert ((n, i) in got) == bool(share >= dc.MIN_SHARE and seeds)
 
 
+def test_long_passages_are_leaks(spark):
+    rng = random.Random(15)
+    items = [(0, " ".join(f"a{i}" for i in range(59))), (1, " ".join(f"b{i}" for i in range(1000)))]
+    a, b = items[0][1].split(), items[1][1].split()
+    edited = [*b[100:120], "other", *b[121:137]]
+    passages = {1: a[:40], 2: b[200:890], 3: a[9:41], 4: a[9:40], 5: edited, 6: edited[:-1], 7: [w for i, w in enumerate(b[:400]) if i % 5]}
+    texts = [(i, " ".join([sentence(rng, "en", 60), *words, sentence(rng, "en", 60)])) for i, words in passages.items()]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in dc.find_leaks(df, bench).collect()}
+    assert sorted(got) == [(1, 0), (2, 1), (3, 0), (5, 1)]
+    assert got[1, 0]["end_word"] == 100 and math.isclose(got[1, 0]["similarity"], 40 / 59) and got[2, 1]["item_words"] == 1000
+    assert sorted(r["doc_id"] for r in dc.drop_leaks(df, bench).collect()) == [4, 6, 7]
+
+
 def test_word_tables(corpus):
     texts = ["a b", "", None, " c", "d", "e\x0bf g "] + [t for _, t, _ in corpus]
     table = textkit.words(pa.array(texts))

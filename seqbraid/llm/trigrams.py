@@ -39,9 +39,16 @@ def _walk(nodes) -> list[_Alternative]:
             elif low and low == high and low <= 4:
                 more = [()]
                 for _ in range(low):
-                    more = [a + b for a in more for b in once][: MAX_ALTERNATIVES + 1]
+                    more = list(dict.fromkeys(a + b for a in more for b in once))
+                    if len(more) > MAX_ALTERNATIVES:
+                        more = [(None,)]
+                        break
             elif low:
-                more = [(*x, None, *x) if low > 1 else (*x, None) for x in once]
+                once = list(dict.fromkeys(once))
+                if low == 1:
+                    more = [(*x, None) for x in once]
+                else:
+                    more = [(*x, None, *y) for x in once for y in once] if len(once) ** 2 <= MAX_ALTERNATIVES else [(None,)]
             else:
                 more = [(None,)]
         elif kind is op.AT:

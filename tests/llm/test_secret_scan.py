@@ -80,3 +80,11 @@ def test_trigram_queries():
         for text in filter(None, TEXTS):
             for m in re.finditer(rule.pattern, text):
                 assert query is None or any(all(g in m[0].lower() for g in grams) for grams in query)
+
+
+def test_trigram_queries_of_repeats_leave_no_match_out():
+    for pattern, text in (("id[ab]{2,}zz", "idabzz"), ("id[ab]{6}zz", "idabababzz"), ("(aa|bb|cc){2,5}d", "aaccd"), ("k(?:[ab]|[ab]|[abc]|[abcd]){3}z", "kdddz"), ("k[a-a]{2}[abcdefgh]{3}z", "kaahhhz")):
+        assert re.fullmatch(pattern, text)
+        query = trigram_query(pattern)
+        assert query is None or any(all(g in text for g in grams) for grams in query), pattern
+    assert {frozenset({"ida", "azz"}), frozenset({"ida", "bzz"}), frozenset({"idb", "azz"}), frozenset({"idb", "bzz"})} == set(trigram_query("id[ab]{2,}zz"))

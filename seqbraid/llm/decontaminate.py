@@ -187,7 +187,7 @@ def _search(items: list[tuple[int, str]], min_share: float):
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
     held, size = [], 0
     for row in benchmark.toLocalIterator():
         held.append((row["item_id"], row["text"]))
@@ -217,7 +217,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def _drop(items: list[tuple[int, str]], text_col: str, min_share: float):
+def _drop(items: list[tuple[int | None, str]], text_col: str, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items, min_share)
         for part in textkit.slices(batches, text_col):
@@ -229,8 +229,8 @@ def _drop(items: list[tuple[int, str]], text_col: str, min_share: float):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, all columns unchanged."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    """The rows of ``docs`` that hold no test item, with an id or without, all columns unchanged."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"])
     for block in _blocks(items, block_bytes):
         docs = docs.mapInArrow(_drop(block, text_col, min_share), docs.schema)
     return docs

@@ -262,6 +262,12 @@ def test_long_passages_are_leaks(spark):
     assert sorted(r["doc_id"] for r in dc.drop_leaks(df, bench).collect()) == [4, 6, 7]
 
 
+def test_items_without_an_id_are_dropped_too(spark):
+    df = spark.createDataFrame([(1, "here is one two three four five six"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three four five six"), (None, None)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in dc.drop_leaks(df, bench).collect()) == [2, 3] and dc.find_leaks(df, bench).count() == 0
+
+
 def test_word_tables(corpus):
     texts = ["a b", "", None, " c", "d", "e\x0bf g "] + [t for _, t, _ in corpus]
     table = textkit.words(pa.array(texts))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqbraid.llm import textkit
 
-#: A dictionary is made of at most so many texts, up to PIECE characters of each.
+#: A dictionary is made of at most so many texts, up to PIECE characters from a place in each, until it is full.
 TEXTS, PIECE, DICTIONARY_BYTES = 96, 1024, 1 << 16
 BLOCK, LEVEL = 8192, 6
 #: Texts whose runner-up is less than this share larger are rejected.
@@ -80,13 +80,17 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int
 
     Rows of a language are thinned to a few times that number by the hash of their
     id, then those of the smallest hashes are taken, so no task holds a language.
+    Texts without a letter are passed over.  Of each text, letters only, PIECE
+    characters are taken from a place that the hash of id and text chooses.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
     hashed = own.withColumn("h", F.pmod(F.xxhash64("id", F.lit("dictionary")), F.lit(1 << 40)))
     totals = hashed.groupBy("lang").agg(F.count("*").alias("n"))
     share = totals.select("lang", (F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(4.0 * texts + 64) / F.col("n"))).alias("most"))
-    thin = hashed.join(F.broadcast(share), "lang").where("h < most").select("lang", "h", F.substring("text", 1, 4 * PIECE).alias("text"))
-    ranked = thin.withColumn("r", F.expr("row_number() over (partition by lang order by h, text)")).where(F.col("r") <= texts)
+    thin = hashed.join(F.broadcast(share), "lang").where("h < most").select("lang", "h", F.xxhash64("id", "text").alias("at"), F.trim(F.regexp_replace("text", r"[^\p{L}]+", " ")).alias("text"))
+    place = F.pmod("at", F.greatest(F.length("text") - PIECE + 1, F.lit(1))).cast("int") + 1
+    pieces = thin.select("lang", "h", F.substring("text", place, F.lit(PIECE)).alias("text"))
+    ranked = pieces.withColumn("r", F.expr("row_number() over (partition by lang order by h, text)")).where(F.col("r") <= texts)
     rows = ranked.select("lang", "r", "text").collect()  # bounded: languages x texts x PIECE
     return dictionaries([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["r"]))])
 

@@ -103,6 +103,16 @@ def test_language_learns_only_from_its_rows(spark):
     assert {r["lang_pred"] for r in got} == {"yy"}
 
 
+def test_language_learns_from_anywhere_in_its_texts(spark):
+    rng = random.Random(16)
+    head = " ".join(f"header{i}" for i in range(900))
+    rows = [(i, f"{head} {sentence(rng, 'de', 4000)}", "de") for i in range(40)] + [(100 + i, "1234 ... " * 800 + sentence(rng, "fr", 200), "fr") for i in range(40)]
+    rows += [(200 + i, "12 !", "en") for i in range(3000)] + [(4000, sentence(rng, "en", 50), "en")]
+    content = lid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert sorted(content) == ["de", "en", "fr"]
+    assert content["de"].count(b" nicht ") > 20 and content["fr"].count(b" dans ") > 20
+
+
 def test_lattice_sums_all_segmentations():
     pieces, logs = ["a", "b", "ab", "aba", "▁", "▁a", "", ""], np.log10([0.2, 0.1, 0.15, 0.05, 0.2, 0.1, 0.1, 0.1])
     byte_pieces = {b: 6 for b in range(256)}

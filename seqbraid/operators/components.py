@@ -1,28 +1,30 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is one aggregation and one join over the edges, so no node's
-neighbours are ever gathered in a task, and the number of rounds grows with the
-logarithm of the longest path.
+Each step is one aggregation and one join over the edges, and the number of rounds
+grows with the logarithm of the longest path.  The least neighbours are a table of
+their own, a row per node, so the join with a hub's edges is dealt like any other
+and adaptive skew joins can split it; what an earlier round wrote is deleted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqbraid.plans.shared import materialize
+from seqbraid.plans.shared import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Larger neighbours move to the least one; and the table of the least ones."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    return both.where("b > a").join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Smaller neighbours, and the node itself, move to the least one; and the table of the least ones."""
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), least
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -33,15 +35,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     a null end are dropped.  An empty table gives an empty result.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
-    alone = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    alone = now.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    first, mark = now, None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)).where("a <> b").distinct(), "star")
-        new = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
-        if new == mark or not new[0]:
+        large, one = _large_star(now.where("a <> b"))
+        middle = materialize(large, "large_star")
+        small, two = _small_star(middle)
+        new = materialize(small, "small_star")
+        discard(one, two, middle, *([now] if now is not first else []))
+        now = new
+        seen = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+        if seen == mark or not seen[0]:
             break
-        mark = new
+        mark = seen
     else:
         raise RuntimeError("connected components did not converge")
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -50,7 +50,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_shared_path"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` gave, once all that reads them is written."""
+    for table in tables:
+        _delete(table.sparkSession, table.__dict__.pop("_shared_path"))
 
 
 def _forget() -> None:

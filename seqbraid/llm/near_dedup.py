@@ -9,28 +9,37 @@ borrow a full one, chosen by a fixed table, before the registers are banded.
    any size costs one row per task).
 2. Representatives that share a band key meet.  Within a key, the
    collision-corrected estimate of Jaccard similarity says which may be linked;
-   a search over the key's members gives a spanning forest of those, at most one
-   row a member.  Large keys are cut into chunks, and each pair of chunks is a
-   group of its own, so that no task holds a whole key.
+   those that may are joined by a spanning forest.
 3. The forests' components are families: no link crosses them.  Each family's
-   full sets are compared, again chunk by chunk, and give a spanning forest of
-   exact links.
+   full sets are compared, and give a spanning forest of exact links.
 4. That forest's components are the result.
 
+Steps 2 and 3 compare the members of a group.  A group that fits a chunk is one
+task's work.  The members of a larger one are dealt into chunks, which first meet
+a few leaders each: whoever is linked with a leader is in its class, and needs no
+comparison within it.  Distance is a metric, so a member farther than twice the
+limit from a leader is linked with nobody of its class; one nearer than that, but
+not linked, visits the class and is compared with those of its members that are
+far enough from the leader.  What no leader reaches meets the next, more numerous
+leaders, and what is left after three rounds is compared chunk by chunk.  So a
+group of near copies of any size costs a few comparisons a member; only members
+that are unlike all leaders are compared with each other.
+
 A pair of similarity s shares a band with probability 1 - (1 - s**rows)**bands;
 rows and bands are chosen so that a pair exactly at the threshold is missed once
 in 10,000.  The estimate rejects only what is four standard deviations under the
-threshold.
+threshold, and the limits for leaders allow for three such errors.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from seqbraid.llm import textkit
 from seqbraid.operators.components import connected_components
@@ -41,6 +50,8 @@ MANTISSA = 10
 MISS = 1e-4
 #: Members of a band key, and of a family, that a chunk holds.
 KEY_CHUNK, FAMILY_CHUNK = 1024, 256
+#: Leaders of each round in groups that don't fit a chunk.
+LEADERS = (2, 16, 64)
 _TRIES = 64
 
 _rng = np.random.default_rng(20240501)
@@ -120,11 +131,12 @@ def estimate(one: np.ndarray, many: np.ndarray, n_one: float, n_many: np.ndarray
     return np.clip((equal - chance) / (1 - chance), 0, 1)
 
 
-def cutoff(threshold: float, held: float = REGISTERS) -> float:
-    return threshold - 4 * math.sqrt(threshold * (1 - threshold) / held)
+def spread(threshold: float, held: np.ndarray | float = REGISTERS) -> np.ndarray | float:
+    """Four standard deviations of an estimate at the threshold."""
+    return 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(held, 1))
 
 
-def _sketches(id_col: str, text_col: str, k: int, fold: bool) -> Callable:
+def _sketches(text_col: str, k: int, fold: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textkit.slices(batches, text_col):
             table = textkit.words(part.column(text_col), lower=fold)
@@ -140,7 +152,7 @@ def _sketches(id_col: str, text_col: str, k: int, fold: bool) -> Callable:
                 else:
                     sig.append(None)
                     sketch.append(None)
-            yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array(n), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "sig", "sketch"])
 
     return run
 
@@ -148,9 +160,9 @@ def _sketches(id_col: str, text_col: str, k: int, fold: bool) -> Callable:
 def _keys(rows: int, bands: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            ids = part.column("rep").to_numpy(zero_copy_only=False)
-            keys = [band_keys(np.frombuffer(x, np.uint16), rows, bands) for x in part.column("sketch").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(ids, bands))], ["key", "rep"])
+            keys = [band_keys(np.frombuffer(x, np.uint16), rows, bands) for x in part.column("data").to_pylist()]
+            at = pa.array(np.repeat(np.arange(part.num_rows), bands))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), part.column("rep").take(at)], ["key", "rep"])
 
     return run
 
@@ -160,8 +172,8 @@ def _sets(k: int, fold: bool) -> Callable:
         for part in textkit.slices(batches, "text"):
             table = textkit.words(part.column("text"), lower=fold)
             every = textkit.runs(table.hashes, k)
-            held = [textkit.shingles(table, i, k, every).tobytes() for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(held, pa.binary())], ["rep", "held"])
+            found = [textkit.shingles(table, i, k, every) for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["rep", "size", "data"])
 
     return run
 
@@ -184,70 +196,196 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
     return out
 
 
-def _edges(ids: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
+class Sketched:
+    """Members of a group with their sketches; a link is what the estimate doesn't rule out."""
+
+    def __init__(self, sizes: np.ndarray, data: list[bytes], threshold: float):
+        self.size, self.threshold = sizes, threshold
+        self.sketch = np.frombuffer(b"".join(data), np.uint16).reshape(-1, REGISTERS)
+        self.held = (self.sketch != 0xFFFF).sum(axis=1)
+
+    def similarity(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """With each of the others (at most that, where sizes alone rule out a link), and whether it is a link."""
+        small, large = np.minimum(self.size[others], self.size[i]), np.maximum(self.size[others], self.size[i])
+        value = small / large
+        fits = np.flatnonzero(value >= self.threshold - 1e-9)
+        linked = np.zeros(len(others), bool)
+        if len(fits):
+            near = others[fits]
+            value[fits] = estimate(self.sketch[i], self.sketch[near], self.size[i], self.size[near])
+            linked[fits] = value[fits] >= self.threshold - spread(self.threshold, np.minimum(self.held[near], self.held[i]))
+        return value, linked
+
+
+class Exact:
+    """Members of a group with their full sets; a link is exact."""
+
+    def __init__(self, sizes: np.ndarray, data: list[bytes], num: int, den: int):
+        self.size, self.num, self.den = sizes, num, den
+        every = np.frombuffer(b"".join(data), np.uint64)
+        self.flat = np.unique(every, return_inverse=True)[1]
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        self.mark = np.zeros(int(self.flat.max()) + 1 if len(every) else 1, bool)
+
+    def similarity(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As of sketches; the similarity of texts whose sizes fit is exact."""
+        small, large = np.minimum(self.size[others], self.size[i]), np.maximum(self.size[others], self.size[i])
+        value = small / large
+        fits = np.flatnonzero(self.den * small >= self.num * large)
+        linked = np.zeros(len(others), bool)
+        if len(fits):
+            near = others[fits]
+            mine = self.flat[self.at[i] : self.at[i + 1]]
+            self.mark[mine] = True
+            if 4 * len(near) > len(self.size):
+                upto = np.concatenate([[0], np.cumsum(self.mark[self.flat], dtype=np.int64)])
+                both = upto[self.at[near + 1]] - upto[self.at[near]]
+            else:
+                both = np.array([np.count_nonzero(self.mark[self.flat[self.at[j] : self.at[j + 1]]]) for j in near], np.int64)
+            self.mark[mine] = False
+            union = self.size[near] + self.size[i] - both
+            value[fits], linked[fits] = both / union, self.den * both >= self.num * union
+        return value, linked
+
+
+Group = Callable[[np.ndarray, list[bytes]], "Sketched | Exact"]
+
+
+def _group(table: pa.Table, kind: Group) -> Sketched | Exact:
+    return kind(table.column("size").to_numpy(), table.column("data").to_pylist())
+
+
+def _edges(ids: pa.ChunkedArray, pairs: list[tuple[int, int]]) -> pa.Table:
     at = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.table({"a": pa.array(ids[at[:, 0]], pa.int64()), "b": pa.array(ids[at[:, 1]], pa.int64())})
-
+    return pa.table({"a": ids.take(pa.array(at[:, 0])), "b": ids.take(pa.array(at[:, 1]))})
 
-def _may_link(threshold: float) -> Callable:
-    def run(group: pa.Table) -> pa.Table:
-        ids = group.column("rep").to_numpy()
-        size = group.column("n_shingles").to_numpy()
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        held = (sketch != 0xFFFF).sum(axis=1)
 
-        def near(i: int, others: np.ndarray) -> np.ndarray:
-            fits = np.minimum(size[others], size[i]) >= threshold * np.maximum(size[others], size[i]) - 1e-9
-            value = np.zeros(len(others))
-            if fits.any():
-                value[fits] = estimate(sketch[i], sketch[others[fits]], size[i], size[others[fits]])
-            spread = 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(np.minimum(held[others], held[i]), 1))
-            return fits & (value >= threshold - spread)
+def _forest(kind: Group) -> Callable:
+    """Links of a whole group, or of two chunks."""
 
-        return _edges(ids, forest(len(ids), near))
+    def run(table: pa.Table) -> pa.Table:
+        group = _group(table, kind)
+        return _edges(table.column("rep"), forest(table.num_rows, lambda i, others: group.similarity(i, others)[1]))
 
     return run
 
 
-def exact_near(sets: list[np.ndarray], num: int, den: int) -> Callable[[int, np.ndarray], np.ndarray]:
-    """den * intersection >= num * union, on the full sets."""
-    size = np.array([len(x) for x in sets], np.int64)
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
-    at = np.concatenate([[0], np.cumsum(size)])
-    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-        out = np.zeros(len(others), bool)
-        fits = np.flatnonzero(den * small >= num * large)
-        mine = flat[at[i] : at[i + 1]]
-        mark[mine] = True
-        for f in fits:
-            j = others[f]
-            both = int(np.count_nonzero(mark[flat[at[j] : at[j + 1]]]))
-            out[f] = den * both >= num * (size[i] + size[j] - both)
-        mark[mine] = False
-        return out
+def _meet_leaders(kind: Group, reach: float, id_type: pa.DataType) -> Callable:
+    """A chunk's members with the leaders they are linked with, their class, and the classes they visit."""
+
+    def run(table: pa.Table) -> pa.Table:
+        leads = table.column("leads").to_numpy(zero_copy_only=False)
+        group, lead, member = _group(table, kind), np.flatnonzero(leads), np.flatnonzero(~leads)
+        order = lead[np.argsort(table.column("nth").to_numpy()[lead], kind="stable")]
+        ids = table.column("rep").to_pylist()
+        links: list[list] = [[] for _ in member]
+        visits: list[list] = [[] for _ in member]
+        own = np.full(len(member), -1)
+        away = np.full(len(member), np.nan)
+        for n, i in enumerate(order):
+            value, linked = group.similarity(i, member)
+            for j in np.flatnonzero(linked):
+                links[j].append(ids[i])
+            new = linked & (own < 0)
+            for j in np.flatnonzero(~linked & (own < 0) & (1 - value <= reach)):
+                visits[j].append((ids[i], 1 - value[j]))
+            own[new], away[new] = n, 1 - value[new]
+        at = pa.array(member)
+        leader = pa.array([ids[order[n]] if n >= 0 else None for n in own], id_type)
+        return pa.table({
+            **{c: table.column(c).take(at) for c in ("key", "rep", "size", "data")},
+            "leader": leader,
+            "away": pa.array(away, pa.float64(), from_pandas=True),
+            "links": pa.array(links, pa.list_(id_type)),
+            "visits": pa.array([[{"leader": x, "away": d} for x, d in v] for v in visits], pa.list_(pa.struct([("leader", id_type), ("away", pa.float64())]))),
+        })
+
+    return run
 
-    return near
 
+def _visit(kind: Group) -> Callable:
+    """Visitors and members of a chunk of a class: a link of each visitor, if it has one."""
 
-def _verify(num: int, den: int) -> Callable:
-    def run(group: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("held").to_pylist()]
-        return _edges(group.column("rep").to_numpy(), forest(len(sets), exact_near(sets, num, den)))
+    def run(table: pa.Table) -> pa.Table:
+        visits = table.column("visits").to_numpy(zero_copy_only=False)
+        group, host = _group(table, kind), np.flatnonzero(~visits)
+        pairs = []
+        for i in np.flatnonzero(visits):
+            linked = np.flatnonzero(group.similarity(i, host)[1])
+            pairs += [(int(i), int(host[j])) for j in linked[:1]]
+        return _edges(table.column("rep"), pairs)
 
     return run
 
 
-def _in_chunks(members: DataFrame, key: str, chunk: int, run: Callable) -> DataFrame:
+def _chunk(n: str, chunk: int):
+    return F.ceil(F.col(n) / chunk).cast("int")
+
+
+def _dealt(rows: DataFrame, into: str, name: str) -> DataFrame:
+    return rows.withColumn(name, F.pmod(F.xxhash64("rep", F.lit(7)), F.col(into)).cast("int"))
+
+
+def _in_chunks(members: DataFrame, chunk: int, run: Callable, out: str) -> DataFrame:
     """``run`` over every pair of chunks of every key; keys of one member are left out."""
-    count = members.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    chunks = F.ceil(F.col("_n") / chunk).cast("int")
-    dealt = members.join(count, key).withColumn("_c", chunks).withColumn("_i", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("_c")).cast("int"))
-    dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-    dealt = dealt.withColumn("_lo", F.least("_i", "_j")).withColumn("_hi", F.greatest("_i", "_j")).drop("_n", "_c", "_i", "_j")
-    return dealt.groupBy(key, "_lo", "_hi").applyInArrow(run, "a long, b long")
+    count = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", _chunk("n", chunk).alias("_c")), "chunks")
+    dealt = _dealt(members.join(count, "key"), "_c", "_i").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    dealt = dealt.withColumn("_lo", F.least("_i", "_j")).withColumn("_hi", F.greatest("_i", "_j")).drop("_c", "_i", "_j")
+    return dealt.groupBy("key", "_lo", "_hi").applyInArrow(run, out)
+
+
+def _visits(met: DataFrame, slack: float, limit: float, chunk: int, run: Callable, out: str) -> DataFrame:
+    """Each class's visitors against those of its members that are far enough from the leader."""
+    guests = met.select("key", "rep", "size", "data", F.explode("visits").alias("v")).select("key", F.col("v.leader").alias("leader"), "rep", "size", "data", F.col("v.away").alias("away"))
+    need = materialize(guests.groupBy("key", "leader").agg(F.min("away").alias("_low"), F.count("*").alias("_guests")), "visited")
+    hosts = met.where("leader is not null").select("key", "leader", "rep", "size", "data", "away").join(need, ["key", "leader"]).where(F.col("away") >= F.col("_low") - limit - slack)
+    count = hosts.groupBy("key", "leader", "_guests").agg(F.count("*").alias("_hosts"))
+    count = materialize(count.select("key", "leader", _chunk("_hosts", chunk).alias("_h"), _chunk("_guests", chunk).alias("_g")), "chunks")
+    names = ["key", "leader", "_i", "_j", "rep", "size", "data", "visits"]
+    left = _dealt(hosts.join(count, ["key", "leader"]), "_h", "_i").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).withColumn("visits", F.lit(False))
+    right = _dealt(guests.join(count, ["key", "leader"]), "_g", "_j").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_h") - 1))).withColumn("visits", F.lit(True))
+    return left.select(*names).unionByName(right.select(*names)).groupBy("key", "leader", "_i", "_j").applyInArrow(run, out)
+
+
+def group_links(pairs: DataFrame, payload: Callable[[DataFrame], DataFrame], chunk: int, kind: Group, limit: float, slack: float) -> DataFrame:
+    """(a, b): links that join all members of a key that links join.
+
+    ``pairs``: key, rep, read more than once; ``payload`` gives rep, size and data of
+    a table's reps.  ``limit``: the distance of a link, ``slack`` what measured
+    distances may be off over a chain of two links.
+    """
+    id_kind = pairs.schema["rep"].dataType
+    name = id_kind.simpleString()
+    out = f"a {name}, b {name}"
+    counts = materialize(pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "group_sizes")
+
+    def members(keys: DataFrame) -> DataFrame:
+        some = pairs.join(keys.select("key"), "key")
+        return some.join(payload(some.select("rep").distinct()), "rep").select("key", "rep", "size", "data")
+
+    found = [members(counts.where(F.col("n") <= chunk)).groupBy("key").applyInArrow(_forest(kind), out)]
+    large = counts.where(F.col("n") > chunk)
+    if large.isEmpty():
+        return found[0]
+    left = materialize(members(large), "large_groups")
+    met_schema = f"key {pairs.schema['key'].dataType.simpleString()}, rep {name}, size long, data binary, leader {name}, away double, links array<{name}>, visits array<struct<leader:{name},away:double>>"
+    for turn, many in enumerate(LEADERS):
+        count = materialize(left.groupBy("key").agg(F.count("*").alias("n")).select("key", _chunk("n", chunk).alias("_c")), "chunks")
+        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(many)).alias("nth")
+        heads = left.groupBy("key", slot).agg(F.min_by(F.struct("rep", "size", "data"), F.struct(F.xxhash64("rep"), "rep", "data")).alias("x")).select("key", "nth", "x.*")
+        heads = heads.join(count, "key").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).withColumn("leads", F.lit(True))
+        rows = _dealt(left.join(count, "key"), "_c", "_i").withColumn("leads", F.lit(False)).withColumn("nth", F.lit(0).cast("long"))
+        names = ["key", "_i", "rep", "size", "data", "leads", "nth"]
+        meeting = _meet_leaders(kind, 2 * limit + slack, to_arrow_type(id_kind))
+        met = materialize(heads.select(*names).unionByName(rows.select(*names)).groupBy("key", "_i").applyInArrow(meeting, met_schema), "met_leaders")
+        found.append(met.select(F.col("rep").alias("a"), F.explode("links").alias("b")).where("a <> b"))
+        if not met.where("size(visits) > 0").isEmpty():
+            found.append(_visits(met, slack, limit, chunk, _visit(kind), out))
+        left = met.where("leader is null").select("key", "rep", "size", "data")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+    found.append(_in_chunks(left, chunk, _forest(kind), out))
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 85, den: int = 100, fold_case: bool = True) -> DataFrame:
@@ -258,36 +396,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wordless text has an empty set, is linked with nothing and is kept.  Equal
     texts are always linked; ties go to the smaller id, so results don't depend
     on row order.  Only the two named columns are read; a repeated id gives a row
-    for each of its rows.  Rows whose id is null are left out.
+    for each of its rows.  A row whose id is null can't be named by others: it is
+    linked with nothing, has no component and is kept.  Ids are of any type that
+    can be ordered.
     """
     threshold = num / den
     rows, bands = banding(threshold)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    every = materialize(own.mapInArrow(_sketches("doc_id", "text", k, fold_case), "doc_id long, n_shingles long, sig binary, sketch binary"), "sketches")
-    reps = every.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(reps, "representatives")
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    every = materialize(own.mapInArrow(_sketches("text", k, fold_case), f"doc_id {kind}, n_shingles long, sig binary, sketch binary"), "sketches")
+    known = every.where("sig is not null and doc_id is not null")
+    reps = materialize(known.groupBy("sig").agg(F.min("doc_id").alias("rep")), "representatives")
     # A repeated id may carry two texts, so a representative is an id and a signature.
-    sketch = every.where("sig is not null").withColumnRenamed("doc_id", "rep").join(reps, ["sig", "rep"], "left_semi").dropDuplicates(["sig", "rep"]).select("rep", "n_shingles", "sketch")
-    keys = materialize(sketch.mapInArrow(_keys(rows, bands), "key long, rep long"), "bands")
-    met = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
-    may = _in_chunks(met.join(sketch, "rep"), "key", KEY_CHUNK, _may_link(threshold))
-    family = materialize(connected_components(may).withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "families")
-    sets = own.withColumnRenamed("doc_id", "rep").join(family.select("rep"), "rep", "left_semi").mapInArrow(_sets(k, fold_case), "rep long, held binary").distinct()
-    links = _in_chunks(sets.join(family, "rep"), "family", FAMILY_CHUNK, _verify(num, den))
+    sketch = known.withColumnRenamed("doc_id", "rep").join(reps, ["sig", "rep"], "left_semi").dropDuplicates(["sig", "rep"]).select("rep", F.col("n_shingles").alias("size"), F.col("sketch").alias("data"))
+    sketch = materialize(sketch, "rep_sketches")
+    keys = materialize(sketch.mapInArrow(_keys(rows, bands), f"key long, rep {kind}"), "bands")
+    may = group_links(keys, lambda reps: sketch, KEY_CHUNK, partial(Sketched, threshold=threshold), 1 - threshold, 3 * float(spread(threshold)))
+    family = materialize(connected_components(may).withColumnRenamed("node", "rep").withColumnRenamed("component", "key"), "families")
+    texts = own.withColumnRenamed("doc_id", "rep")
+    sets = lambda reps: texts.join(reps, "rep", "left_semi").mapInArrow(_sets(k, fold_case), f"rep {kind}, size long, data binary").where("size > 0").distinct()
+    links = group_links(family, sets, FAMILY_CHUNK, partial(Exact, num=num, den=den), 1 - threshold, 1e-9)
     found = connected_components(links).withColumnRenamed("node", "rep")
     final = reps.join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    joined = every.select("doc_id", "n_shingles", "sig").join(final, "sig", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    joined = known.select("doc_id", "n_shingles", "sig").join(final, "sig", "left").select("doc_id", "n_shingles", "component_id")
+    alone = every.where("sig is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, all columns unchanged.
 
-    Of rows that repeat an id, all are kept if the id is.
+    Of rows that repeat an id, all are kept if the id is; rows without an id are
+    kept.  Other columns may have any name.
     """
-    gone = near_duplicates(docs, id_col, text_col, k, num, den).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, k, num, den).where("not kept").select("doc_id").distinct()
+    return docs.alias("_docs").join(gone.alias("_gone"), F.col(f"_docs.{id_col}") == F.col("_gone.doc_id"), "left_anti")
 
 
 def near_duplicates_sql(table: str = "documents", k: int = 3, num: int = 85, den: int = 100) -> str:
@@ -298,14 +441,14 @@ def near_duplicates_sql(table: str = "documents", k: int = 3, num: int = 85, den
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     run = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
     return (
-        f"with recursive words as (select doc_id, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') as w from {table} where doc_id is not null), "
-        f"shingles as (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < {k} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {k - 2}), lambda i: {run}) end) as g from words), "
-        "sizes as (select doc_id, count(*) as n from shingles group by doc_id), "
+        f"with recursive words as (select doc_id, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') as w from {table}), "
+        f"sets as (select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < {k} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {k - 2}), lambda i: {run}) end) as s from words), "
+        "shingles as (select doc_id, unnest(s) as g from sets where doc_id is not null), "
         "shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all), "
-        f"links as (select x, y from shared join sizes sx on sx.doc_id = x join sizes sy on sy.doc_id = y where {den} * c >= {num} * (sx.n + sy.n - c)), "
+        f"links as (select x, y from shared join sets sx on sx.doc_id = x join sets sy on sy.doc_id = y where {den} * c >= {num} * (len(sx.s) + len(sy.s) - c)), "
         "both_ways as (select x, y from links union all select y, x from links), "
-        "reach(node, got) as (select doc_id, doc_id from sizes union select r.node, b.y from reach r join both_ways b on b.x = r.got), "
+        "reach(node, got) as (select doc_id, doc_id from sets where doc_id is not null union select r.node, b.y from reach r join both_ways b on b.x = r.got), "
         "least as (select node, min(got) as low from reach group by node) "
-        "select w.doc_id, coalesce(s.n, 0)::bigint as n_shingles, coalesce(l.low, w.doc_id) as component_id, coalesce(l.low, w.doc_id) = w.doc_id as kept "
-        "from words w left join sizes s on s.doc_id = w.doc_id left join least l on l.node = w.doc_id"
+        "select s.doc_id, len(s.s)::bigint as n_shingles, l.low as component_id, coalesce(l.low = s.doc_id, true) as kept "
+        "from sets s left join least l on l.node = s.doc_id"
     )

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of text handled at once; a longer text is handled alone and whole.
 SLICE_BYTES = 4 << 20
+#: Bytes that ``words`` hashes at once, up to the next space; so its work space doesn't grow with a text.
+HASH_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -36,13 +38,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 17))
-        table = [np.cumprod(np.full(size, x, np.uint64)) for x in (_P, _Q)]
-        if n > SLICE_BYTES + (1 << 17):
-            return table
-        _powers[:] = table
-    return _powers
+    """Powers of the hash's base and of its inverse; only those of usual lengths are kept."""
+    if not _powers:
+        _powers[:] = [np.cumprod(np.full(2 * HASH_BYTES, x, np.uint64)) for x in (_P, _Q)]
+    return _powers if n <= len(_powers[0]) else [np.cumprod(np.full(n, x, np.uint64)) for x in (_P, _Q)]
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -92,23 +91,43 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pieces of at least HASH_BYTES bytes (but for the last) that end where no word goes on."""
+    start, n = 0, len(data)
+    while start < n:
+        end = min(n, start + HASH_BYTES)
+        if end < n:
+            border = int(offsets[np.searchsorted(offsets, end)])
+            while end < border:
+                gap = np.flatnonzero(_SPACE[data[end : min(end + HASH_BYTES, border)]])
+                if len(gap):
+                    end += int(gap[0])
+                    break
+                end = min(end + HASH_BYTES, border)
+        yield start, end
+        start = end
+
+
 def words(column: pa.Array, lower: bool = False) -> Words:
     data, offsets = raw(column)
     if lower:
         data = _LOWER[data]
-    n = len(data)
-    solid = ~_SPACE[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    begin, end = solid.copy(), solid.copy()
-    if n:
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for start, end in _cuts(data, offsets):
+        part = data[start:end]
+        n = len(part)
+        solid = ~_SPACE[part]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets[np.searchsorted(offsets, start) : np.searchsorted(offsets, end, "right")] - start] = True
+        begin, stop = solid.copy(), solid.copy()
         begin[1:] &= ~solid[:-1] | edge[1:n]
-        end[:-1] &= ~solid[1:] | edge[1:n]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    power, inverse = _power(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts])
+        stop[:-1] &= ~solid[1:] | edge[1:n]
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        power, inverse = _power(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+        found.append((starts + start, ends + start, mix((total[ends] - total[starts]) * inverse[starts])))
+    starts, ends, hashes = map(np.concatenate, zip(*found, strict=True))
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -39,9 +40,12 @@ def test_components_equal_brute_force(docs, corpus, k, num):
     assert got == brute_force([(i, t) for i, t, _ in corpus], k, num, 100)
 
 
-def test_chunks_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(nd, "KEY_CHUNK", 8)
-    monkeypatch.setattr(nd, "FAMILY_CHUNK", 5)
+@pytest.mark.parametrize(("key_chunk", "family_chunk", "leaders"), [(8, 5, (2, 16, 64)), (4, 3, (1, 2)), (6, 4, ())])
+def test_large_groups_lose_no_link(spark, monkeypatch, key_chunk, family_chunk, leaders):
+    """Near copies, chains of them that drift apart, and texts that share only half: groups far over a chunk."""
+    monkeypatch.setattr(nd, "KEY_CHUNK", key_chunk)
+    monkeypatch.setattr(nd, "FAMILY_CHUNK", family_chunk)
+    monkeypatch.setattr(nd, "LEADERS", leaders)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -50,10 +54,72 @@ def test_chunks_lose_no_link(spark, monkeypatch):
         for _ in range(rng.randint(0, 3)):
             words[rng.randrange(60)] = f"x{rng.randrange(40)}"
         rows.append((i, " ".join(words)))
+    words = [f"c{i}" for i in range(80)]
+    for i in range(80, 130):
+        words = list(words)
+        words[rng.randrange(80)] = f"d{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(i, " ".join([*base[:30], *(f"e{i % 12}_{j}" for j in range(30))])) for i in range(130, 170)]
     got = sorted(map(tuple, nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == brute_force(rows, 3, 85, 100)
 
 
+@pytest.mark.parametrize("kind", ["sketch", "set"])
+def test_groups_of_any_size_are_joined_by_their_links(spark, monkeypatch, kind):
+    """The links found join just those members that all links of the group join."""
+    monkeypatch.setattr(nd, "LEADERS", (1, 3, 5))
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (40, 25, 10, 1, 1, 1):
+        centre = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+        for _ in range(n):
+            own = centre.copy()
+            change = rng.integers(0, 60)
+            own[rng.integers(0, 300, change)] = rng.integers(1, 1 << 62, change).astype(np.uint64)
+            sets.append(np.unique(own))
+    size = np.array([len(x) for x in sets])
+    data = [nd.compress(nd.least(x)).tobytes() if kind == "sketch" else x.tobytes() for x in sets]
+    group = nd.Sketched(size, data, 0.85) if kind == "sketch" else nd.Exact(size, data, 85, 100)
+    maker, slack = (nd.partial(nd.Sketched, threshold=0.85), 3 * nd.spread(0.85)) if kind == "sketch" else (nd.partial(nd.Exact, num=85, den=100), 1e-9)
+    want = {frozenset(t) for t in _trees(len(sets), [(i, j) for i in range(len(sets)) for j in np.flatnonzero(group.similarity(i, np.arange(len(sets)))[1])])}
+    pairs = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(len(sets))] + [(3, 0)], "key long, rep long")
+    rows = spark.createDataFrame([(i, int(n), bytearray(d)) for i, (n, d) in enumerate(zip(size, data, strict=True))], "rep long, size long, data binary")
+    for chunk in (7, 20, 1000):
+        found = nd.group_links(pairs, lambda reps: rows, chunk, maker, 0.15, slack).collect()
+        assert {frozenset(t) for t in _trees(len(sets), [(r["a"], r["b"]) for r in found])} == want
+    assert 3 < len(want) < len(sets)
+
+
+def _trees(n, edges):
+    label = list(range(n))
+    for a, b in edges:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    trees = defaultdict(list)
+    for i, x in enumerate(label):
+        trees[x].append(i)
+    return trees.values()
+
+
+def test_ids_null_or_of_another_type(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", text, 1), ("a", text + " more", 2), (None, text, 3), (None, None, 4), ("c", "", 5)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _gone int")
+    got = sorted(map(tuple, nd.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([("b", 38, "a", False), ("a", 39, "a", True), (None, 38, None, True), (None, 0, None, True), ("c", 0, "c", True)], key=repr)
+    assert sorted(r["_gone"] for r in nd.drop_near_duplicates(df).collect()) == [2, 3, 4, 5]
+    assert nd.drop_near_duplicates(df.withColumnRenamed("_gone", "kept")).columns == ["doc_id", "text", "kept"]
+
+
+def test_sql_agrees(spark, corpus):
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    rows = [(i, t) for i, t, _ in corpus if i != 109 and len(t or "") < 10_000] + [(None, corpus[0][1]), (None, None)]
+    con.executemany("insert into documents values (?, ?)", rows)
+    sql = con.execute(nd.near_duplicates_sql()).fetchall()
+    assert sorted(map(repr, sql)) == sorted(repr(tuple(r)) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_drop_keeps_columns_and_one_of_each(docs, corpus, no_docs):
     kept = nd.drop_near_duplicates(docs)
     assert kept.columns == docs.columns

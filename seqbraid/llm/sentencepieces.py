@@ -34,7 +34,8 @@ from seqbraid.llm import textkit
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE, LONGEST_CACHED = 1_000_000, 64
+#: Words that a worker remembers, and pairs of pieces; only words of under LONGEST_CACHED characters are.
+CACHE, LONGEST_CACHED = 120_000, 64
 
 
 def common_prefixes(words: list[str]) -> list[int]:
@@ -97,6 +98,7 @@ class Pieces:
         self.cache: dict[str, tuple[bytes, float]] = {}
         self.bpe = bpe
         self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: again and again the adjacent pair of the best score, leftmost first."""
@@ -131,6 +133,7 @@ class Pieces:
                     stay = known.get(text)
                     if stay is None:
                         stay = known[text] = self._stay(last[i], text)
+                        self.n_pairs += 1
                     if stay:
                         last.append(text)
                         break
@@ -156,8 +159,9 @@ class Pieces:
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[int], float]]:
         """Each distinct word of a sorted list with its ids and the sum of their scores."""
         last, best = [""], [0.0]
-        if len(self.pairs) > CACHE:
+        if self.n_pairs > CACHE:
             self.pairs.clear()
+            self.n_pairs = 0
         score = self.score
         for word, shared in zip(words, common_prefixes(words), strict=True):
             del last[shared + 1 :], best[shared + 1 :]

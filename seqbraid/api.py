@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -29,11 +30,14 @@ class Clustering:
         names = self.uniq.select(F.col("uid").alias("canonical"), strings.shown(F.col("seq"), F.col("seq2")).alias("canonical_name"))
         return self.uniq.withColumn("name", strings.shown(F.col("seq"), F.col("seq2"))).join(self.assigned, "uid").join(names, "canonical")
 
-    def clusters(self) -> DataFrame:
-        """(canonical, size, n_unique, members, read_ids); members in alphabetical order."""
-        ids = F.sort_array(F.flatten(F.collect_list("read_ids"))) if "read_ids" in self.uniq.columns else F.lit(None).cast("array<long>")
+    def clusters(self, ids: bool = False) -> DataFrame:
+        """(canonical, size, n_unique, members[, read_ids]), a row per cluster; members in alphabetical order."""
         grouped = self._members().groupBy(F.col("canonical_name").alias("canonical"))
-        return grouped.agg(F.sum("cnt").alias("size"), F.count("*").alias("n_unique"), F.sort_array(F.collect_list("name")).alias("members"), ids.alias("read_ids"))
+        found = grouped.agg(F.sum("cnt").alias("size"), F.count("*").alias("n_unique"), F.sort_array(F.collect_list("name")).alias("members"))
+        if not ids:
+            return found
+        gathered = self.tidy().groupBy("canonical").agg(F.sort_array(F.collect_list("read_id")).alias("read_ids"))
+        return found.join(gathered, "canonical")
 
     def sizes(self) -> DataFrame:
         """(canonical, size) without lists, which a large cluster would make long."""
@@ -53,7 +57,7 @@ class Clustering:
         return chosen.withColumn("canonical", shown).join(self.sizes(), "canonical").select("canonical", "size", "seq", "seq2", *info)
 
 
-def cluster(reads: DataFrame, distance: int | None = None, ratio: float = 5.0, algorithm: str = "mp", validate: bool = True, on_invalid: str = "fail", wildcard: str | None = "N", with_ids: bool = True, with_info: bool = False, fold_case: bool = True) -> Clustering:
+def cluster(reads: DataFrame, distance: int | None = None, ratio: float = 5.0, algorithm: str = "mp", validate: bool = True, on_invalid: str = "fail", wildcard: str | None = "N", with_info: bool = False, fold_case: bool = True) -> Clustering:
     """Cluster reads (as ``sources.reads`` gives them).
 
     ``distance`` None takes it from the median length.  A negative one is taken as
@@ -67,7 +71,12 @@ def cluster(reads: DataFrame, distance: int | None = None, ratio: float = 5.0, a
         raise ValueError(f"distance must be at most {strings.MAX_DISTANCE}")
     ship.ensure(reads.sparkSession)
     reads = sources.normalize(reads, validate, on_invalid, fold_case)
-    uniq = materialize(collapse.ranked(collapse.collapse(reads, with_ids, with_info)), "uniq")
+    try:
+        uniq = materialize(collapse.ranked(collapse.collapse(reads, with_info=with_info)), "uniq")
+    except Exception as e:
+        if said := re.search(rf"{sources.INVALID}: \S*", str(e)):
+            raise sources.InvalidInput(said[0]) from e
+        raise
     shapes = uniq.groupBy("len", F.col("seq2").isNotNull().alias("mates")).agg(F.count("*").alias("n")).collect()
     if not shapes:
         raise sources.InvalidInput("input file empty")
@@ -88,13 +97,13 @@ def cluster(reads: DataFrame, distance: int | None = None, ratio: float = 5.0, a
     return Clustering(reads, uniq, found, assigned, distance)
 
 
-def cluster_tags(reads: DataFrame, tag_length: int, tag_distance: int = 0, seq_distance: int | None = None, trim: int = 50, tag_algorithm: str = "mp", seq_algorithm: str = "mp", tag_ratio: float = 3, seq_ratio: float = 3) -> DataFrame:
+def cluster_tags(reads: DataFrame, tag_length: int, tag_distance: int = 0, seq_distance: int | None = None, trim: int = 50, tag_algorithm: str = "mp", seq_algorithm: str = "mp", tag_ratio: float = 3, seq_ratio: float = 3, with_ids: bool = False, validate: bool = True) -> DataFrame:
     """Cluster tags and sequences apart, and return the reads that share both clusters (see ``umi.intersect``)."""
     ship.ensure(reads.sparkSession)
-    parts = materialize(umi.split_tag(sources.normalize(reads), tag_length, trim), "parts")
+    parts = materialize(umi.split_tag(sources.normalize(reads, validate), tag_length, trim), "parts")
     sides = []
     for column, dist, ratio, algorithm in (("tag", tag_distance, tag_ratio, tag_algorithm), ("body", seq_distance, seq_ratio, seq_algorithm)):
         side = sources.from_dataframe(parts, column, id_col="read_id")
-        found = cluster(side, dist, ratio, algorithm, validate=False, with_ids=False)
+        found = cluster(side, dist, ratio, algorithm, validate=False)
         sides.append(found.tidy().select("read_id", "canonical"))
-    return umi.intersect(parts, *sides, tag_length)
+    return umi.intersect(parts, *sides, tag_length, with_ids)

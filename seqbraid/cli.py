@@ -14,8 +14,19 @@ from seqbraid.sources import reads as sources, render
 VERSION = "0.1"
 
 
+class _Parser(argparse.ArgumentParser):
+    """Takes each option once."""
+
+    def parse_known_args(self, args=None, namespace=None):
+        named = [self._option_string_actions.get(x.partition("=")[0] if x.startswith("--") else x[:2]) for x in (sys.argv[1:] if args is None else args) if x.startswith("-") and x != "-"]
+        seen = [a.dest for a in named if a is not None]
+        if repeated := sorted({x for x in seen if seen.count(x) > 1}):
+            self.error(f"more than once: {', '.join(repeated)}")
+        return super().parse_known_args(args, namespace)
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="seqbraid", description=__doc__, allow_abbrev=False)
+    p = _Parser(prog="seqbraid", description=__doc__, allow_abbrev=False)
     p.add_argument("path", nargs="?", help="input file (default: standard input)")
     p.add_argument("-i", "--input")
     p.add_argument("-1", "--input1")
@@ -90,19 +101,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         path = new_path(spark, "stdin")
         text.orderBy("line_no").coalesce(1).select("value").write.text(path)
     names = {"mp": "mp", "s": "spheres", "cc": "components"}
+    if o.cluster_ratio == 1:
+        sys.stderr.write("warning: with a cluster ratio of 1, strings of equal counts join each other\n")
     try:
         reads = sources.read(spark, path, o.input2)
         if o.umi_len is not None:
-            found = api.cluster_tags(reads, o.umi_len, o.umi_d, o.seq_d, o.seq_trim, names[o.umi_cluster], names[o.seq_cluster], o.umi_cluster_ratio, o.seq_cluster_ratio)
+            found = api.cluster_tags(reads, o.umi_len, o.umi_d, o.seq_d, o.seq_trim, names[o.umi_cluster], names[o.seq_cluster], o.umi_cluster_ratio, o.seq_cluster_ratio, o.seq_id)
             _emit(render.tag_lines(found, o.seq_id), o.output)
             return 0
         algorithm = "spheres" if o.sphere else "components" if o.connected_comp else "mp"
-        done = api.cluster(reads, o.distance, o.cluster_ratio or 5.0, algorithm, with_ids=o.seq_id, with_info=o.non_redundant)
+        done = api.cluster(reads, o.distance, o.cluster_ratio or 5.0, algorithm, with_info=o.non_redundant)
     except sources.InvalidInput as e:
         sys.stderr.write(f"{e}\n")
         return 1
     if not o.quiet:
-        sys.stderr.write(f"distance {done.distance}\n")
+        shape = done.uniq.agg({"cnt": "sum", "uid": "count"}).first()
+        sys.stderr.write(f"{shape['sum(cnt)']} sequences, {shape['count(uid)']} of them different\ndistance {done.distance}\n{done.pairs.count()} similar pairs\n")
     if o.tidy:
         _emit(render.tidy_lines(done.tidy()), o.output)
     elif o.non_redundant:
@@ -113,7 +127,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             _emit(render.unique_lines(unique, sources.detect_format(spark, path)), o.output)
     else:
-        _emit(render.cluster_lines(done.clusters(), o.print_clusters, o.seq_id), o.output)
+        _emit(render.cluster_lines(done.clusters(o.seq_id), o.print_clusters, o.seq_id), o.output)
     return 0
 
 

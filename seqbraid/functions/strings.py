@@ -46,15 +46,6 @@ def shown(seq: Column, mate: Column) -> Column:
     return F.when(mate.isNull(), seq).otherwise(F.concat(seq, F.lit("/"), mate))
 
 
-def segment_lengths(median: int, most: int) -> list[int]:
-    """Lengths of the most + 1 pieces that cover the last median - most letters, each at most 14."""
-    width = median // (most + 1)
-    if width > 14:
-        return [14] * (most + 1)
-    short = most - median % (most + 1)
-    return [width - 1 if i < short else width for i in range(most + 1)]
-
-
 def length_histogram(uniq: DataFrame) -> list[tuple[int, int]]:
     """(length, how many unique strings), by length."""
     return sorted((r["len"], r["n"]) for r in uniq.groupBy("len").agg(F.count("*").alias("n")).collect())

@@ -11,10 +11,10 @@ from seqbraid.plans.shared import materialize
 INFO = ("header", "qual", "header2", "qual2")
 
 
-def collapse(reads: DataFrame, with_ids: bool = True, with_info: bool = False) -> DataFrame:
+def collapse(reads: DataFrame, with_ids: bool = False, with_info: bool = False) -> DataFrame:
     """(seq, seq2, cnt, first_read_id[, read_ids][, header, qual, header2, qual2]) of each distinct record.
 
-    Counts are summed, ids sorted; headers and qualities are those of the record
+    Counts are summed; ``with_ids`` gathers the ids of a string in its row, sorted; headers and qualities are those of the record
     read first.  Counts and first ids combine before the shuffle.
     """
     columns = [F.sum("cnt").alias("cnt"), F.min("read_id").alias("first_read_id")]

@@ -17,7 +17,7 @@ def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Larger neighbours move to the least one; and the table of the least ones."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-    return both.where("b > a").join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b").distinct(), least
+    return both.where("b > a").join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b"), least
 
 
 def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -27,6 +27,12 @@ def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), least
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one neighbour, which has no smaller one itself."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of an edge; component: its smallest node.
 
@@ -35,22 +41,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     a null end are dropped.  An empty table gives an empty result.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    alone = now.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    first, mark = now, None
-    for _ in range(max_rounds):
-        large, one = _large_star(now.where("a <> b"))
+    first = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    alone = first.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    now, rounds = first.where("a <> b"), []
+    while not _are_stars(now):
+        if len(rounds) > max_rounds:
+            raise RuntimeError("connected components did not converge")
+        large, one = _large_star(now)
         middle = materialize(large, "large_star")
         small, two = _small_star(middle)
-        new = materialize(small, "small_star")
-        discard(one, two, middle, *([now] if now is not first else []))
-        now = new
-        seen = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
-        if seen == mark or not seen[0]:
-            break
-        mark = seen
-    else:
-        raise RuntimeError("connected components did not converge")
+        now = materialize(small, "small_star")
+        discard(one, two, middle, *rounds[-1:])
+        rounds.append(now)
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return found.unionByName(roots).unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))

@@ -54,44 +54,49 @@ def propagate(uniq: DataFrame, direct: DataFrame) -> DataFrame:
     return state
 
 
-def resolve(counts: dict[int, int], spheres: dict[int, int], canonical: dict[int, int], todo: list[int], parents: dict[int, list[int]]) -> dict[int, int]:
-    """Decide the open strings of a group in uid order, open parents first.
-
-    A parent that is canonical itself and has the largest count wins; of equal ones
-    that with the larger sphere.  If there's none, or those tie as well, the parents'
-    canonical strings are compared by count, the smallest uid first.
+def visiting_order(open_: dict[int, list[int]]) -> list[int]:
+    """The keys of (string: parents), each after those of its parents that are keys too, otherwise from the smallest."""
+    out: list[int] = []
+    begun: set[int] = set()
+    for start in sorted(open_):
+        path = [] if start in begun else [(start, iter(sorted(open_[start])))]
+        begun.add(start)
+        while path:
+            string, parents = path[-1]
+            above = next((p for p in parents if p in open_ and p not in begun), None)
+            if above is None:
+                out.append(string)
+                path.pop()
+            else:
+                begun.add(above)
+                path.append((above, iter(sorted(open_[above]))))
+    return out
+
+
+def preferred(parents: list[int], canonical: dict[int, int], rank: dict[int, tuple[int, int]]) -> int:
+    """The string that a child of these parents joins; ``rank``: count and sphere of each string.
+
+    Of the parents that stand for themselves, the one of the greatest rank, if it is
+    alone in that; else, of all that the parents stand for, the one of the greatest
+    count, the smallest of equal ones.
     """
-    canonical = dict(canonical)
-    for start in todo:
-        stack = [start]
-        while stack:
-            u = stack[-1]
-            if u in canonical:
-                stack.pop()
-                continue
-            waiting = [p for p in parents[u] if p not in canonical]
-            if waiting:
-                stack += reversed(waiting)
-                continue
-            chosen, most, sphere = None, 0, 0
-            for p in parents[u]:
-                if canonical[p] != p:
-                    continue
-                if counts[p] > most:
-                    chosen, most, sphere = p, counts[p], spheres.get(p, 0)
-                elif counts[p] == most and p != chosen:
-                    if spheres.get(p, 0) > sphere:
-                        chosen, sphere = p, spheres.get(p, 0)
-                    elif spheres.get(p, 0) == sphere:
-                        chosen = None
-            if chosen is None:
-                chosen = max(sorted({canonical[p] for p in parents[u]}), key=lambda c: counts[c])
-            canonical[u] = chosen
-            counts[chosen] += counts[u]
-            counts[u] = 0
-            spheres[chosen] = spheres.get(chosen, 0) + 1
-            stack.pop()
-    return canonical
+    roots = {p for p in parents if canonical[p] == p}
+    top = max((rank[p] for p in roots), default=None)
+    first = [p for p in roots if rank[p] == top]
+    if len(first) == 1:
+        return first[0]
+    return min({canonical[p] for p in parents}, key=lambda c: (-rank[c][0], c))
+
+
+def resolve(counts: dict[int, int], spheres: dict[int, int], canonical: dict[int, int], parents: dict[int, list[int]]) -> dict[int, int]:
+    """``canonical`` with the open strings of a group, the keys of ``parents``; each choice hands its count on at once."""
+    rank = {u: (n, spheres.get(u, 0)) for u, n in counts.items()}
+    found = dict(canonical)
+    for u in visiting_order(parents):
+        to = found[u] = preferred(parents[u], found, rank)
+        (count, sphere), (own, around) = rank[to], rank[u]
+        rank[to], rank[u] = (count + own, sphere + 1), (0, around)
+    return found
 
 
 def _resolve_group(rows: pd.DataFrame) -> pd.DataFrame:
@@ -103,7 +108,7 @@ def _resolve_group(rows: pd.DataFrame) -> pd.DataFrame:
         if r.open:
             parents[r.uid] = sorted(int(p) for p in r.parents)
     todo = sorted(parents)
-    found = resolve(counts, spheres, canonical, todo, parents)
+    found = resolve(counts, spheres, canonical, parents)
     return pd.DataFrame({"uid": pd.Series(todo, dtype="int64"), "canonical": pd.Series([found[u] for u in todo], dtype="int64")})
 
 

@@ -1,38 +1,20 @@
-"""Greedy spheres: the largest strings claim their neighbours, and nearer ones steal them."""
+"""Greedy spheres: the largest strings claim their neighbours, and nearer ones steal them.
+
+Strings are visited by count, then by their neighbours' counts, then uid.  One that
+no centre has claimed becomes a centre itself; so a string is a centre just if none
+of its neighbours that come before it is one.  That is decided in rounds of joins:
+whoever has no undecided neighbour before it is a centre, and its neighbours are
+not.  In the end each of them belongs to its nearest centre, the first visited of
+equally near ones.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from seqbraid.operators.components import connected_components
 from seqbraid.operators.pairs import both_ways
-from seqbraid.plans.shared import materialize
-
-
-def claim(order: list[int], near: dict[int, list[tuple[int, int]]]) -> dict[int, int]:
-    """Centre of each string, visited in ``order``; near: (distance, neighbour), nearest first.
-
-    A string without a centre becomes one.  It claims neighbours that have none and
-    those whose own centre is farther away.
-    """
-    centre: dict[int, int] = {}
-    held_at: dict[int, int] = {}
-    for u in order:
-        if u in centre:
-            continue
-        centre[u], held_at[u] = u, 0
-        for dist, v in near.get(u, ()):
-            if v not in centre or dist < held_at[v]:
-                centre[v], held_at[v] = u, dist
-    return centre
-
-
-def _claim_group(rows: pd.DataFrame) -> pd.DataFrame:
-    near = {r.uid: sorted((int(x["dist"]), int(x["b"])) for x in r.near) for r in rows.itertuples()}
-    order = rows.sort_values(["cnt", "weight", "uid"], ascending=[False, False, True])["uid"].tolist()
-    centre = claim(order, near)
-    return pd.DataFrame({"uid": order, "canonical": [centre[u] for u in order]}).astype("int64")
+from seqbraid.plans.shared import discard, materialize
 
 
 def neighbour_weight(uniq: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -41,18 +23,39 @@ def neighbour_weight(uniq: DataFrame, pairs: DataFrame) -> DataFrame:
     return both_ways(pairs).join(cnt, "b").groupBy(F.col("a").alias("uid")).agg(F.sum("cnt").alias("weight"), F.count("*").alias("degree"))
 
 
-def spheres(uniq: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(uid, canonical) of every record; strings are visited by count, then by their neighbours' counts, then uid.
+def centres(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uid) of the centres among ``nodes`` (uid); ``edges`` (first, then): neighbours in visiting order."""
+    found, open_, left = None, materialize(nodes.select("uid"), "open"), materialize(edges.select("first", "then"), "edges")
+    while True:
+        new = open_.join(left.select(F.col("then").alias("uid")), "uid", "left_anti").withColumn("centre", F.lit(True))
+        claimed = left.join(new.select(F.col("uid").alias("first")), "first", "left_semi").select(F.col("then").alias("uid")).distinct().withColumn("centre", F.lit(False))
+        decided = materialize(new.unionByName(claimed), "decided")
+        mine = decided.where("centre").select("uid")
+        found = mine if found is None else found.unionByName(mine)
+        gone = decided.select("uid")
+        rest = materialize(open_.join(gone, "uid", "left_anti"), "open")
+        fewer = left.join(gone.withColumnRenamed("uid", "first"), "first", "left_anti").join(gone.withColumnRenamed("uid", "then"), "then", "left_anti")
+        fewer = materialize(fewer.select("first", "then"), "edges")
+        discard(open_, left)
+        open_, left = rest, fewer
+        if open_.isEmpty():
+            return found
 
-    A claim never leaves a connected component, so each is a group; strings without
-    a neighbour are their own centres.
-    """
-    groups = materialize(connected_components(pairs), "groups").withColumnRenamed("node", "uid")
-    near = both_ways(pairs).groupBy(F.col("a").alias("uid")).agg(F.collect_list(F.struct("dist", "b")).alias("near"))
-    nodes = groups.join(uniq.select("uid", "cnt"), "uid").join(neighbour_weight(uniq, pairs), "uid").join(near, "uid")
-    found = nodes.groupBy("component").applyInPandas(_claim_group, "uid long, canonical long")
-    alone = uniq.select("uid").join(groups.select("uid"), "uid", "left_anti").select("uid", F.col("uid").alias("canonical"))
-    return materialize(found.unionByName(alone), "assigned")
+
+def spheres(uniq: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uid, canonical) of every record (uid, cnt); strings without a neighbour are their own centres."""
+    weight = neighbour_weight(uniq, pairs).select("uid", "weight")
+    rank = materialize(uniq.select("uid", "cnt").join(weight, "uid").select("uid", F.struct(-F.col("cnt"), -F.col("weight"), "uid").alias("rank")), "visits")
+    one, two = rank.select(F.col("uid").alias("a"), F.col("rank").alias("ra")), rank.select(F.col("uid").alias("b"), F.col("rank").alias("rb"))
+    near = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "dist", "ra", "rb"), "neighbours")
+    before = F.col("ra") < F.col("rb")
+    ordered = near.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("then"))
+    centre = materialize(centres(rank, ordered), "centres")
+    ends = near.select(F.col("a").alias("uid"), F.col("b").alias("near"), "dist", F.col("rb").alias("rank")).unionByName(near.select(F.col("b").alias("uid"), F.col("a").alias("near"), "dist", F.col("ra").alias("rank")))
+    claims = ends.join(centre.withColumnRenamed("uid", "near"), "near", "left_semi").join(centre, "uid", "left_anti")
+    held = claims.groupBy("uid").agg(F.min_by("near", F.struct("dist", "rank")).alias("canonical"))
+    own = uniq.select("uid").join(held.select("uid"), "uid", "left_anti").select("uid", F.col("uid").alias("canonical"))
+    return materialize(held.unionByName(own), "assigned")
 
 
 def components(uniq: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -28,25 +28,24 @@ def common_tail(members: DataFrame) -> DataFrame:
 
     Of equally frequent ones, that which reached the number at the smallest read id.
     """
-    ranked = members.select("seq_canonical", "tail", "read_id", F.expr("row_number() over (partition by seq_canonical, tail order by read_id)").alias("nth"))
-    reached = ranked.groupBy("seq_canonical", "tail").agg(F.max("nth").alias("n"), F.max("read_id").alias("at"))
-    best = reached.groupBy("seq_canonical").agg(F.max("n").alias("most"))
-    # The n-th read of a tail that has n reads is its last.
-    tied = reached.join(best, "seq_canonical").where("n = most")
-    return tied.groupBy("seq_canonical").agg(F.min_by("tail", "at").alias("tail"))
+    # A tail with n reads reaches n at its last one.
+    reached = members.groupBy("seq_canonical", "tail").agg(F.count("*").alias("n"), F.max("read_id").alias("at"))
+    return reached.groupBy("seq_canonical").agg(F.min_by("tail", F.struct(-F.col("n"), "at")).alias("tail"))
 
 
-def intersect(parts: DataFrame, tags: DataFrame, bodies: DataFrame, tag_length: int) -> DataFrame:
-    """(tag_canonical, seq_canonical, canonical, size, read_ids): reads that share both clusters.
+def intersect(parts: DataFrame, tags: DataFrame, bodies: DataFrame, tag_length: int, with_ids: bool = False) -> DataFrame:
+    """(tag_canonical, seq_canonical, canonical, size[, read_ids]): reads that share both clusters.
 
     ``tags`` and ``bodies``: (read_id, canonical) of the two clusterings.
+    ``with_ids`` gathers the ids of a group in its row.
     """
     joined = parts.join(tags.select("read_id", F.col("canonical").alias("tag_canonical")), "read_id").join(bodies.select("read_id", F.col("canonical").alias("seq_canonical")), "read_id")
     members = materialize(joined, "members")
     tails = common_tail(members)
     breaks = members.groupBy("seq_canonical").agg(F.min_by(F.struct("break_at"), "read_id").alias("first"))
-    grouped = members.groupBy("seq_canonical", "tag_canonical").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("read_id")).alias("read_ids"))
+    ids = [F.sort_array(F.collect_list("read_id")).alias("read_ids")] * with_ids
+    grouped = members.groupBy("seq_canonical", "tag_canonical").agg(F.count("*").alias("size"), *ids)
     full = grouped.join(tails, "seq_canonical").join(breaks, "seq_canonical").withColumn("seq", F.concat("seq_canonical", "tail")).withColumn("at", F.col("first.break_at"))
     single = F.concat("tag_canonical", "seq")
     both = F.concat(F.substring("tag_canonical", 1, tag_length), F.expr("substring(seq, 1, at)"), F.lit("/"), F.expr(f"substring(tag_canonical, {tag_length + 1})"), F.expr("substring(seq, at + 1)"))
-    return full.select("tag_canonical", F.col("seq").alias("seq_canonical"), F.when(F.col("at").isNull(), single).otherwise(both).alias("canonical"), "size", "read_ids")
+    return full.select("tag_canonical", F.col("seq").alias("seq_canonical"), F.when(F.col("at").isNull(), single).otherwise(both).alias("canonical"), "size", *["read_ids"] * with_ids)

@@ -12,7 +12,10 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: About 50 MB in memory.
+BROADCAST_ROWS = 1_000_000
 
 _RUN = uuid.uuid4().hex
 _OWN: dict[str, str] = {}
@@ -55,6 +58,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bounded(table: DataFrame) -> DataFrame:
+    """``table``, a materialized one of a few numbers or digests a row, to be broadcast if it has at most BROADCAST_ROWS rows.
+
+    Beyond that a join with it is whatever Spark plans.
+    """
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` gave, once all that reads them is written."""
     for table in tables:

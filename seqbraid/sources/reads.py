@@ -16,6 +16,9 @@ COLUMNS = ("read_id", "seq", "cnt", "header", "qual", "seq2", "header2", "qual2"
 FORMATS = ("raw", "fasta", "fastq")
 
 
+INVALID = "invalid input, offending sequence"
+
+
 class InvalidInput(ValueError):
     """The input can't be read as asked."""
 
@@ -107,7 +110,7 @@ def normalize(reads: DataFrame, validate: bool = True, on_invalid: str = "fail",
         if on_invalid == "drop":
             reads = reads.where(good)
         elif on_invalid == "fail":
-            bad = F.raise_error(F.concat(F.lit("invalid input, offending sequence: "), F.col("seq"))).cast("string")
+            bad = F.raise_error(F.concat(F.lit(f"{INVALID}: "), F.col("seq"))).cast("string")
             reads = reads.withColumn("seq", F.when(good, F.col("seq")).otherwise(bad))
         else:
             raise InvalidInput(f"on_invalid must be fail or drop, not {on_invalid!r}")

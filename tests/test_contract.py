@@ -17,7 +17,7 @@ def rows_of(frame):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["dedup_ids", "pairs_d2", "mp_direct_parents", "mp_tidy", "cc_clusters", "umi_clusters", "fastq_round_trip", "stream_collapse"])
+@pytest.mark.parametrize("name", ["dedup_ids", "pairs_d2", "mp_tidy", "sphere_tidy", "cc_clusters", "umi_paired", "layout_unique_fastq", "layout_tags", "raw_round_trip", "stream_collapse"])
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{DATA}/events.parquet'")

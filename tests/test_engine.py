@@ -42,7 +42,7 @@ def test_raw_file_five_clusters(spark, raw_file):
     path, rows = raw_file
     found = api.cluster(sources.read(spark, path))
     assert found.distance == 2
-    got = {r["canonical"]: (r["size"], list(r["members"]), list(r["read_ids"])) for r in found.clusters().collect()}
+    got = {r["canonical"]: (r["size"], list(r["members"]), list(r["read_ids"])) for r in found.clusters(ids=True).collect()}
     for centre, variant in zip(CENTRES, VARIANTS):
         ids = [i + 1 for i, s in enumerate(rows) if s in (centre, variant)]
         assert got[centre] == (7, sorted([centre, variant]), ids)
@@ -139,9 +139,59 @@ def sequential(counts, edges):
             cnt[c] += counts[u]
             cnt[u] = 0
             sphere[c] += 1 + sum(u in ps for ps in parents.values())
-    todo = [u for u in sorted(counts) if canonical[u] is None]
-    done = {u: c for u, c in canonical.items() if c is not None}
-    return message_passing.resolve(cnt, sphere, done, todo, {u: sorted(parents[u]) for u in todo})
+
+    def second(u):
+        if canonical[u] is not None:
+            return
+        for p in sorted(parents[u]):
+            second(p)
+        canonical[u] = pick_by_rule(sorted(parents[u]), canonical, cnt, sphere)
+        cnt[canonical[u]] += cnt[u]
+        cnt[u] = 0
+        sphere[canonical[u]] += 1
+
+    for u in sorted(counts):
+        second(u)
+    return canonical
+
+
+def pick_by_rule(parents, canonical, cnt, sphere):
+    """Sort the parents that stand for themselves; a tie at the top goes to what all parents stand for."""
+    top = sorted(((cnt[p], sphere[p], p) for p in parents if canonical[p] == p), reverse=True)
+    if top and (len(top) == 1 or top[0][:2] != top[1][:2]):
+        return top[0][2]
+    return sorted((-cnt[canonical[p]], canonical[p]) for p in parents)[0][1]
+
+
+def test_open_strings_join_what_the_rule_says():
+    rng = random.Random(21)
+    for _ in range(400):
+        n = rng.randint(4, 14)
+        roots = list(range(1, n // 2 + 1))
+        counts = {u: rng.choice([1, 2, 2, 3]) for u in range(1, n + 1)}
+        sphere = {u: rng.choice([0, 0, 1]) for u in counts}
+        known = {u: rng.choice(roots) if u > 3 and rng.random() < 0.3 else u for u in roots}
+        known = {u: c if known[c] == c else u for u, c in known.items()}
+        parents = {u: sorted(rng.sample(range(1, u), rng.randint(1, min(3, u - 1)))) for u in range(n // 2 + 1, n + 1)}
+        relabel = dict(zip(range(1, n + 1), rng.sample(range(1, n + 1), n), strict=True))
+        counts, sphere = {relabel[u]: c for u, c in counts.items()}, {relabel[u]: c for u, c in sphere.items()}
+        known = {relabel[u]: relabel[c] for u, c in known.items()}
+        parents = {relabel[u]: [relabel[p] for p in ps] for u, ps in parents.items()}
+        cnt, around, canonical = dict(counts), dict(sphere), dict(known)
+
+        def second(u):
+            if u in canonical:
+                return
+            for p in sorted(parents[u]):
+                second(p)
+            canonical[u] = pick_by_rule(parents[u], canonical, cnt, around)
+            cnt[canonical[u]] += cnt[u]
+            cnt[u] = 0
+            around[canonical[u]] += 1
+
+        for u in sorted(parents):
+            second(u)
+        assert message_passing.resolve(counts, sphere, known, parents) == canonical
 
 
 def test_message_passing_graph_with_ties(spark):
@@ -166,13 +216,37 @@ def test_message_passing_on_random_graphs(spark):
         assert dict(message_passing.message_passing(uniq, table, 1.0).collect()) == sequential(counts, edges)
 
 
+def claimed(order, near):
+    """One visit after another: a string without a centre becomes one, and takes what is unclaimed or nearer to it."""
+    centre, at = {}, {}
+    for u in order:
+        if u not in centre:
+            centre[u], at[u] = u, 0
+            for v, d in near.get(u, {}).items():
+                if v not in centre or d < at[v]:
+                    centre[v], at[v] = u, d
+    return centre
+
+
 def test_sphere_steals_the_nearer(spark):
     # 1 claims 2 at distance 2; 3, visited next, is nearer and takes it.
-    assert spheres.claim([1, 3, 2], {1: [(2, 2)], 3: [(1, 2)], 2: [(1, 3), (2, 1)]}) == {1: 1, 2: 3, 3: 3}
     uniq = spark.createDataFrame([(1, 9), (2, 1), (3, 5), (4, 2)], "uid long, cnt long")
     table = spark.createDataFrame([(1, 2, 2), (2, 3, 1)], "a long, b long, dist int")
     assert dict(spheres.spheres(uniq, table).collect()) == {1: 1, 2: 3, 3: 3, 4: 4}
     assert dict(spheres.components(uniq, table).select("uid", "canonical").collect()) == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert dict(spheres.spheres(uniq, table.limit(0)).collect()) == {u: u for u in range(1, 5)}
+
+
+def test_spheres_equal_one_visit_after_another(spark):
+    rng = random.Random(31)
+    counts = {u: rng.choice([1, 1, 2, 3, 8]) for u in range(60)}
+    linked = {tuple(sorted(rng.sample(range(55), 2))): rng.randint(1, 2) for _ in range(90)} | {(u, u + 1): 1 for u in range(40, 54)}
+    near = {}
+    for (a, b), d in linked.items():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = d
+    order = sorted(counts, key=lambda u: (-counts[u], -sum(counts[v] for v in near.get(u, {})), u))
+    found = spheres.spheres(spark.createDataFrame(list(counts.items()), "uid long, cnt long"), spark.createDataFrame([(a, b, d) for (a, b), d in linked.items()], "a long, b long, dist int"))
+    assert dict(found.collect()) == claimed(order, near)
 
 
 def test_components_of_long_chains_and_stars(spark):
@@ -243,7 +317,6 @@ def test_numbering_of_many_splits(spark, tmp_path):
 
 
 def test_scalar_rules():
-    assert [strings.segment_lengths(m, 3) for m in (20, 21, 22, 23, 60)] == [[4, 4, 4, 5], [4, 4, 5, 5], [4, 5, 5, 5], [5, 5, 5, 5], [14] * 4]
     assert [strings.auto_distance(m) for m in (1, 29, 30, 160, 161, 170)] == [2, 2, 3, 7, 8, 8]
     assert strings.output_name("dir.x/reads.fastq") == "dir.x/reads-clustered.fastq"
     assert strings.output_name("reads") == "reads-clustered"
@@ -252,15 +325,34 @@ def test_scalar_rules():
 def test_tags(spark):
     body = "ACGTTGCAGCATTGCAACGT"
     rows = ["AAAA" + body + "CC"] * 4 + ["AAAA" + body[:-1] + "A" + "GG", "CCCC" + body + "GG", "CCCC" + body + "CC"]
-    found = api.cluster_tags(reads_of(spark, rows), 4, 0, 1, len(body))
+    found = api.cluster_tags(reads_of(spark, rows), 4, 0, 1, len(body), with_ids=True)
     got = {(r["canonical"], r["size"], tuple(r["read_ids"])) for r in found.collect()}
     assert got == {("AAAA" + body + "CC", 5, (1, 2, 3, 4, 5)), ("CCCC" + body + "CC", 2, (6, 7))}
 
 
-def test_command_line(spark, raw_file, capsys):
+def test_command_line(spark, raw_file, tmp_path, capsys):
     assert cli.main(["-i", raw_file[0], "-q", "--seq-id"], spark) == 0
     lines = capsys.readouterr().out.splitlines()
     assert [x.split("\t")[:2] for x in lines] == [[c, "7"] for c in sorted(CENTRES)]
-    for bad in (["-s", "-c", "x"], ["-1", "x"], ["--tidy", "--seq-id", "x"], ["-d", "9", "x"], ["--non-redundant", "--seq-id", "x"]):
+    assert cli.main(["-i", raw_file[0], "-r", "1"], spark) == 0
+    said = capsys.readouterr().err
+    assert "warning" in said and "35 sequences, 10 of them different" in said and "distance 2" in said
+    bad = tmp_path / "bad.txt"
+    bad.write_text("ACGT\nACXT\n")
+    assert cli.main(["-i", str(bad)], spark) == 1
+    assert capsys.readouterr().err == "invalid input, offending sequence: ACXT\n"
+    for bad in (["-s", "-c", "x"], ["-d", "1", "-d", "2", "x"], ["--dist", "1", "-d", "2", "x"], ["--tidy", "--tidy", "x"], ["-1", "x"], ["--tidy", "--seq-id", "x"], ["-d", "9", "x"], ["--non-redundant", "--seq-id", "x"]):
         with pytest.raises(SystemExit):
             cli.main(bad, spark)
+
+
+def test_tidy_lines_of_formats(spark, tmp_path):
+    """Each record in input order with its canonical string, for FASTA and paired FASTQ."""
+    order = [0, 1, 2, 0, 0]
+    fasta, one, two = tmp_path / "a.fa", tmp_path / "a.fq", tmp_path / "b.fq"
+    fasta.write_text("".join(f">{i}\n{CENTRES[i]}\n" for i in order))
+    one.write_text("".join(f"@{i}\n{CENTRES[i]}\n+\nB\n" for i in order))
+    two.write_text("".join(f"@{i}\nA{CENTRES[i][:19]}\n+\nB\n" for i in order))
+    lines = lambda reads: [r["value"] for r in render.tidy_lines(api.cluster(reads, 2).tidy()).collect()]
+    assert lines(sources.read(spark, str(fasta))) == [f"{CENTRES[i]}\t{CENTRES[i]}" for i in order]
+    assert lines(sources.read(spark, str(one), str(two))) == [f"{CENTRES[i]}/A{CENTRES[i][:19]}\t{CENTRES[i]}/A{CENTRES[i][:19]}" for i in order]

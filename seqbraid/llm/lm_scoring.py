@@ -1,10 +1,11 @@
 """Subword lattice likelihood.
 
-The pieces of an existing vocabulary weight every segmentation of a word, and the
-word's probability is their sum, by a forward recursion in log space.  A text's
-probability is the product over its words and one end.  The existing scores (merge
-ranks) give each piece its prior weight, by a power law of the rank; one round of
-expectation over all training words then gives the expected count of each piece.
+The pieces of an existing vocabulary weight every segmentation of a word by their
+scores, and the word's probability is their sum, by a forward recursion in log
+space.  A text's probability is the product over its words and one end.  A unigram
+model's scores are log probabilities and are taken as they are; a BPE model's are
+merge ranks, which weigh by the power law 1 / (rank + 3).  The weights sum to what
+the end leaves, whose weight is the share of ends among the training tokens.
 
 Nothing is computed twice for a word: the corpus is dealt into blocks of documents,
 each block gives its distinct words, the words' totals and likelihoods are found
@@ -28,9 +29,13 @@ from seqbraid.llm.sentencepieces import MARK, Pieces
 from seqbraid.plans.shared import materialize
 
 BLOCK_BYTES = 12 << 20
+#: Small corpora are dealt into blocks of a quarter of that or more, up to so many.
+SMALL_BLOCKS = 32
 #: Words of up to so many characters are scored together; longer ones one by one.
 TOGETHER = 48
 _BATCH = 20_000
+#: How much rarer than the rarest piece a character is that the vocabulary can't spell, as a log10.
+UNKNOWN_LOG = 6.0
 _END = ""  # stands for a text's end, as no word is empty
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,6 +51,8 @@ class Lattice:
 
     def __init__(self, pieces: list[str], byte_pieces: dict[int, int], logs: np.ndarray):
         self.pieces, self.byte_pieces, self.logs = pieces, byte_pieces, logs
+        #: Of a character that has no piece and whose bytes have none either.
+        self.unknown = float(logs[np.isfinite(logs)].min()) - UNKNOWN_LOG if np.isfinite(logs).any() else -UNKNOWN_LOG
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         lengths: dict[int, list[tuple[int, int]]] = {}
         self.ids = {}
@@ -66,11 +73,13 @@ class Lattice:
             out = textkit.mix(out * _MUL + codes[:, k] + np.uint64(1))
         return out
 
-    def _bytes_of(self, char: str) -> list[int]:
-        return [self.byte_pieces[b] for b in char.encode() if b in self.byte_pieces]
+    def _spelled(self, char: str) -> float:
+        """Log10 weight of a character as byte pieces."""
+        ids = [self.byte_pieces.get(b) for b in char.encode()]
+        return self.unknown if None in ids else float(self.logs[ids].sum())
 
-    def _edges(self, codes: np.ndarray, lengths: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(start, length): rows that have a piece there, its id, and the log weight; id -1: a character of bytes."""
+    def _edges(self, codes: np.ndarray, lengths: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """(start, length): rows that have a piece there, and its log weight."""
         n, width = codes.shape
         out = {}
         for start in range(width):
@@ -87,84 +96,48 @@ class Lattice:
                     at = np.minimum(np.searchsorted(keys, rolling[live]), len(keys) - 1)
                     found = keys[at] == rolling[live]
                     if found.any():
-                        out[start, size] = live[found], ids[at[found]], self.logs[ids[at[found]]]
+                        out[start, size] = live[found], self.logs[ids[at[found]]]
                 if size == 1 and not found.all():
                     rows = live[~found]
                     chars, back = np.unique(codes[rows, start], return_inverse=True)
-                    each = np.array([self.logs[self._bytes_of(chr(int(c)))].sum() for c in chars])
-                    kept = out.get((start, 1), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
-                    out[start, 1] = np.concatenate([kept[0], rows]), np.concatenate([kept[1], np.full(len(rows), -1)]), np.concatenate([kept[2], each[back]])
+                    each = np.array([self._spelled(chr(int(c))) for c in chars])
+                    kept = out.get((start, 1), (np.zeros(0, np.int64), np.zeros(0)))
+                    out[start, 1] = np.concatenate([kept[0], rows]), np.concatenate([kept[1], each[back]])
         return out
 
-    def _steps(self, word: str, start: int) -> Iterator[tuple[int, list[int], float]]:
-        """(end, piece ids, natural log weight) of each piece that begins at ``start``."""
-        for end in range(start + 1, min(len(word), start + self.longest) + 1):
-            text = word[start:end]
-            if text in self.ids:
-                yield end, [self.ids[text]], float(self.logs[self.ids[text]]) * math.log(10)
-            elif end == start + 1:
-                spelled = self._bytes_of(text)
-                yield end, spelled, float(self.logs[spelled].sum()) * math.log(10)
-            if text not in self.openings:
-                return
-
-    def _forward_one(self, word: str, count: float | None) -> tuple[float, np.ndarray]:
-        """``forward`` of one long word, position by position."""
-        n = len(word)
-        ahead, used = [-math.inf] * (n + 1), np.zeros(len(self.pieces))
+    def _forward_one(self, word: str) -> float:
+        """``forward`` of one long word, position by position, as a natural logarithm."""
+        n, ln10 = len(word), math.log(10)
+        ahead = [-math.inf] * (n + 1)
         ahead[0] = 0.0
         for start in range(n):
-            for end, _, log in self._steps(word, start):
-                ahead[end] = _plus(ahead[end], ahead[start] + log)
-        if count is not None:
-            behind = [-math.inf] * (n + 1)
-            behind[n] = 0.0
-            for start in range(n - 1, -1, -1):
-                for end, ids, log in self._steps(word, start):
-                    behind[start] = _plus(behind[start], behind[end] + log)
-                    share = count * math.exp(ahead[start] + log + behind[end] - ahead[n])
-                    for i in ids:
-                        used[i] += share
-        return ahead[n], used
-
-    def forward(self, words: list[str], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 sums over all segmentations of marked words, all about equally long.
-
-        With counts, also the expected number of times that each piece is used.
-        """
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                text = word[start:end]
+                if text in self.ids:
+                    ahead[end] = _plus(ahead[end], ahead[start] + float(self.logs[self.ids[text]]) * ln10)
+                elif end == start + 1:
+                    ahead[end] = _plus(ahead[end], ahead[start] + self._spelled(text) * ln10)
+                if text not in self.openings:
+                    break
+        return ahead[n]
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Log10 sums over all segmentations of marked words, all about equally long."""
+        ln10 = math.log(10)
         if len(words) == 1 and len(words[0]) > TOGETHER:
-            total, used = self._forward_one(words[0], None if counts is None else float(counts[0]))
-            return np.array([total / math.log(10)]), used
+            return np.array([self._forward_one(words[0]) / ln10])
         lengths = np.array([len(w) for w in words])
         width = int(lengths.max())
         codes = np.zeros((len(words), width), np.uint64)
         flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         codes[np.arange(width) < lengths[:, None]] = flat
         edges = self._edges(codes, lengths)
-        ln10 = math.log(10)
         ahead = np.full((width + 1, len(words)), -np.inf)
         ahead[0] = 0
-        order = sorted(edges)
-        for start, size in order:
-            rows, _, logs = edges[start, size]
+        for start, size in sorted(edges):
+            rows, logs = edges[start, size]
             ahead[start + size, rows] = np.logaddexp(ahead[start + size, rows], ahead[start, rows] + logs * ln10)
-        total = ahead[lengths, np.arange(len(words))]
-        used = np.zeros(len(self.pieces))
-        if counts is not None:
-            behind = np.full((width + 1, len(words)), -np.inf)
-            behind[lengths, np.arange(len(words))] = 0
-            for start, size in reversed(order):
-                rows, _, logs = edges[start, size]
-                behind[start, rows] = np.logaddexp(behind[start, rows], behind[start + size, rows] + logs * ln10)
-            for start, size in order:
-                rows, ids, logs = edges[start, size]
-                share = counts[rows] * np.exp(ahead[start, rows] + logs * ln10 + behind[start + size, rows] - total[rows])
-                real = ids >= 0
-                used += np.bincount(ids[real], share[real], len(self.pieces))
-                for row, weight in zip(rows[~real], share[~real], strict=True):
-                    for i in self._bytes_of(words[row][start]):
-                        used[i] += weight
-        return total / ln10, used
+        return ahead[lengths, np.arange(len(words))] / ln10
 
     def batches(self, words: list[str]) -> Iterator[np.ndarray]:
         """Word numbers in groups of about equal length."""
@@ -178,24 +151,25 @@ class Lattice:
             start = max(end, start + 1)
 
 
-def prior(path: str) -> tuple[list[str], dict[int, int], np.ndarray]:
-    """Pieces of a model file, its byte pieces, and log10 weights by rank; the last entry is the end."""
+def weights(path: str, end: float) -> tuple[list[str], dict[int, int], np.ndarray]:
+    """Pieces of a model file, its byte pieces, and log10 weights by their scores; the last entry is the end, of weight ``end``."""
     model = Pieces(path)
     pieces = [""] * len(model.raw)
     for piece, (score, i) in model.score.items():
         if score > -1e8:
             pieces[i] = piece
-    if MARK in model.score:
-        pieces[model.score[MARK][1]] = MARK
-    held = sorted((i for i, p in enumerate(pieces) if p), key=lambda i: -model.scores[i])
-    weight = np.zeros(len(pieces) + 1)
-    for rank, i in enumerate(held):
-        weight[i] = 1 / (rank + 3)
-    for i in model.bytes.values():
-        weight[i] = 1 / (len(held) + 3)
-    weight[-1] = weight.sum() / 200
-    with np.errstate(divide="ignore"):
-        return [*pieces, ""], model.bytes, np.log10(weight / weight.sum())
+    held = [i for i, p in enumerate(pieces) if p]
+    score = np.array(model.scores)
+    logs = np.full(len(pieces) + 1, -np.inf)
+    logs[held] = -np.log10(3 - score[held]) if model.bpe else score[held] / math.log(10)
+    least = logs[held].min()
+    for i in model.bytes.values():  # their own scores say nothing
+        logs[i] = least
+    usable = np.isfinite(logs)
+    high = logs[usable].max()
+    logs[usable] += math.log10(1 - end) - high - math.log10((10 ** (logs[usable] - high)).sum())
+    logs[-1] = math.log10(end)
+    return [*pieces, ""], model.bytes, logs
 
 
 def _block_words(train_mod: int, held: int):
@@ -221,19 +195,6 @@ def _block_words(train_mod: int, held: int):
     return run
 
 
-def _expected(pieces, byte_pieces, logs):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, used = Lattice(pieces, byte_pieces, logs), np.zeros(len(pieces))
-        for batch in batches:
-            words, counts = [MARK + w for w in batch.column("word").to_pylist()], batch.column("c").to_numpy(zero_copy_only=False).astype(float)
-            for group in lattice.batches(words):
-                used += lattice.forward([words[i] for i in group], counts[group])[1]
-        ids = np.flatnonzero(used)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(used[ids])], ["piece", "used"])
-
-    return run
-
-
 def _likelihoods(pieces, byte_pieces, logs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, byte_pieces, logs)
@@ -241,7 +202,7 @@ def _likelihoods(pieces, byte_pieces, logs):
             words = batch.column("word").to_pylist()
             marked, out = [MARK + w for w in words], np.zeros(len(words))
             for group in lattice.batches(marked):
-                out[group] = lattice.forward([marked[i] for i in group])[0]
+                out[group] = lattice.forward([marked[i] for i in group])
             out[[i for i, w in enumerate(words) if w == _END]] = logs[-1]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(out)], ["word", "c", "logp"])
 
@@ -273,28 +234,22 @@ def score_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     Documents whose crc32 of the id as text leaves ``held_out`` modulo ``mod`` are
     not learned from; nor are those without an id, which are scored all the same.
     Null text counts as empty and holds the end alone.  With no training token the
-    base has one unseen token's mass and the lattice keeps its prior.  Repeated ids
-    and equal rows give a row each; only the two named columns are read.
+    base has one unseen token's mass and the end the weight 1/200.  Repeated ids and
+    equal rows give a row each, equal texts the same scores; a long text is in a
+    block of its own size; an empty table gives an empty result; only the two named
+    columns are read.
     """
     learns = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod != held_out, F.lit(False))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), learns.alias("learns"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), learns.alias("learns"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    blocks = max(1, -(-size // block_bytes), min(SMALL_BLOCKS, 4 * size // block_bytes))
+    spot = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", F.octet_length("text")))
+    dealt = own.withColumn("block", F.pmod(spot, F.lit(blocks)).cast("int"))
     in_blocks = materialize(dealt.repartition(blocks, "block").mapInArrow(_block_words(mod, held_out), "block int, word string, c long"), "block_words")
     words = materialize(in_blocks.groupBy("word").agg(F.sum("c").alias("c")), "words")
     n_train, distinct, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum(F.when(F.col("word") == _END, F.col("c"))), F.lit(0))).first()
-    pieces, byte_pieces, logs = prior(vocabulary)
-    trained = words.where("c > 0 and word <> ''")
-    used = np.zeros(len(pieces))
-    for row in trained.mapInArrow(_expected(pieces, byte_pieces, logs), "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect():  # at most a row per piece
-        used[row["piece"]] = row["used"]
-    if n_train:
-        used[-1] = ends
-        usable = np.isfinite(logs)
-        with np.errstate(divide="ignore"):
-            logs = np.log10(np.where(usable, used + 0.01, 0) / (used[usable] + 0.01).sum())
+    pieces, byte_pieces, logs = weights(vocabulary, ends / (n_train + 1) if n_train else 1 / 200)
     scored = words.mapInArrow(_likelihoods(pieces, byte_pieces, logs), "word string, c long, logp double")
     tables = in_blocks.select("block", "word").join(scored, "word")
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(_score(n_train, distinct), out)

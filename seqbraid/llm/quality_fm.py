@@ -1,7 +1,7 @@
 """Quality scores from a factorisation machine.
 
-A text's features are its hashed words, the ratios of ``textstats`` in ranges, and
-its length in ranges.  The model adds a weight for each feature and the inner
+A text's features are its hashed words, the ratios of ``textstats`` in ranges, its
+length in ranges, and as metadata the length that its row states.  The model adds a weight for each feature and the inner
 product of two low-rank vectors for each pair of features; by
 
     sum over pairs <v_i, v_j> x_i x_j = 1/2 sum over f [(sum v_if x_i)^2 - sum (v_if x_i)^2]
@@ -15,7 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from seqbraid.llm import textkit
 from seqbraid.llm.textstats import RATIOS, counts
@@ -28,7 +30,8 @@ CUT = 0.3
 
 _FIRST_RATIO = WORD_BUCKETS
 _FIRST_LENGTH = _FIRST_RATIO + BINS * len(RATIOS)
-FEATURES = _FIRST_LENGTH + LENGTH_BINS
+_FIRST_STATED = _FIRST_LENGTH + LENGTH_BINS
+FEATURES = _FIRST_STATED + LENGTH_BINS + 1
 
 
 def _bins(ratios: np.ndarray) -> np.ndarray:
@@ -39,7 +42,13 @@ def _bins(ratios: np.ndarray) -> np.ndarray:
         return np.clip(np.floor(np.log2(np.maximum(value, 1e-12))) + BINS - 2, 0, BINS - 1).astype(np.int64)
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _stated(column: pa.Array) -> np.ndarray:
+    """Ranges of a stated length; the last is for none, or a negative one."""
+    size = pc.fill_null(column, -1).to_numpy(zero_copy_only=False)
+    return np.where(size < 0, LENGTH_BINS, np.clip(np.log2(1 + np.maximum(size, 0)), 0, LENGTH_BINS - 1)).astype(np.int64)
+
+
+def features(column: pa.Array, stated: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of a slice of texts, rows ascending; each row's words have length 1 together."""
     table = textkit.words(column, lower=True)
     n = len(column)
@@ -51,9 +60,9 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ratios = np.array([r for _, r in stats], float).reshape(n, len(RATIOS))
     length = np.clip(np.log2(1 + np.array([c[0] for c, _ in stats])), 0, LENGTH_BINS - 1).astype(np.int64)
     shape = _FIRST_RATIO + BINS * np.arange(len(RATIOS)) + _bins(ratios)
-    all_rows = np.concatenate([rows, np.repeat(np.arange(n), len(RATIOS)), np.arange(n)])
-    all_ids = np.concatenate([key % WORD_BUCKETS, shape.ravel(), _FIRST_LENGTH + length])
-    values = np.concatenate([value / norm[rows], np.full(n * len(RATIOS), 0.5), np.full(n, 0.5)])
+    all_rows = np.concatenate([rows, np.repeat(np.arange(n), len(RATIOS)), np.arange(n), np.arange(n)])
+    all_ids = np.concatenate([key % WORD_BUCKETS, shape.ravel(), _FIRST_LENGTH + length, _FIRST_STATED + _stated(stated)])
+    values = np.concatenate([value / norm[rows], np.full(n * len(RATIOS), 0.5), np.full(2 * n, 0.5)])
     order = np.argsort(all_rows, kind="stable")
     return all_rows[order], all_ids[order], values[order]
 
@@ -105,21 +114,21 @@ class Machine:
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in textkit.slices(batches, "text"):
-        row, ids, x = features(part.column("text"))
+        row, ids, x = features(part.column("text"), part.column("n_chars"))
         at = np.searchsorted(row, np.arange(part.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array([ids[a:b].astype("<i4").tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()), pa.array([x[a:b].astype("<f4").tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["quality", "ids", "x"])
+        yield pa.RecordBatch.from_arrays([part.column("_hash"), part.column("quality"), pa.array([ids[a:b].astype("<i4").tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()), pa.array([x[a:b].astype("<f4").tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["_hash", "quality", "ids", "x"])
 
 
 def _apply(machine: Machine, shift: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textkit.slices(batches, "text"):
-            score = 1 / (1 + np.exp(-np.clip(machine.raw(*features(part.column("text")), part.num_rows) + shift, -30, 30)))
+            score = 1 / (1 + np.exp(-np.clip(machine.raw(*features(part.column("text"), part.column("n_chars")), part.num_rows) + shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", mod: int = 5, held_out: int = 0, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", mod: int = 5, held_out: int = 0, labelled_rows: int = LABELLED_ROWS, stated_col: str = "n_chars") -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
     Learned from the ``labelled_rows`` labelled rows of the smallest id hashes among
@@ -128,14 +137,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     kinds every score is 0.5.  Null labels and ids aren't learned from; an id
     labelled twice counts twice; repeated ids give a row each.  Scores are shifted
     so that ``CUT`` separates the labelled rows where both errors weigh the same.
+    A long text is scored whole, by itself.  An empty table gives an empty result.
+    Of other columns only ``stated_col`` is read, if there is one and it is a number.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == held_out, F.lit(False))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"))
+    numeric = stated_col in docs.columns and isinstance(docs.schema[stated_col].dataType, NumericType)
+    stated = F.col(stated_col).cast("double") if numeric else F.lit(None).cast("double")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"), stated.alias("n_chars"))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("quality")).dropna()
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != held_out)
-    chosen = textkit.thinned(known, labelled_rows).orderBy("_hash", "doc_id", "quality").limit(labelled_rows).select("doc_id", "quality")
-    rows = own.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_encode, "quality int, ids binary, x binary").collect()  # bounded by labelled_rows
+    chosen = textkit.thinned(known, labelled_rows).orderBy("_hash", "doc_id", "quality").limit(labelled_rows)
+    held = own.join(F.broadcast(chosen), "doc_id").select("_hash", "quality", "text", "n_chars").mapInArrow(_encode, "_hash long, quality int, ids binary, x binary")
+    rows = held.orderBy("_hash", "quality", "ids", "x").limit(labelled_rows).collect()  # a document may come more than once; a row has FEATURES entries at most
     rows.sort(key=lambda r: (r["quality"], r["ids"], r["x"]))
     label = np.array([r["quality"] == 1 for r in rows], float)
     machine, shift = Machine(), 0.0

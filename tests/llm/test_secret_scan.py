@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import duckdb
 import pytest
@@ -66,6 +67,40 @@ def test_redaction(spark):
     assert got == {1: ("a [SECRET] b", 5), 2: (None, 6), 3: ("fine", 7), 4: ("[SECRET]!", 8)}
 
 
+def redacted(text):
+    """By plain Python: overlapping spans of all rules are one mark."""
+    spans = sorted((m.start(), m.end()) for r in ss.BASE + ss.MORE for m in re.finditer(r.pattern, text) if not r.least or len(m[r.group]) >= r.least)
+    out, at = "", 0
+    for a, b in spans:
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_redaction_equals_brute_force(spark, monkeypatch):
+    """Many spans a text, over the borders of blocks, with letters of several bytes and clashing columns."""
+    monkeypatch.setattr(ss, "BLOCK", 4)
+    texts = [t for t in TEXTS if t is not None] + [TEXTS[0], "é🤦 " + " 日本 ".join(["token=abcdefgh" + "0f" * 20, "AKIA" + "Q" * 14] * 9)]
+    rows = [(i if i % 3 else None, t, "_id", 1, "c", 5, ["x"]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _hash int, rules string, text_hash int, spans array<string>")
+    got = ss.redact(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or -1, r["text"], r["_id"], r["rules"]) for r in got.collect()) == sorted((r[0] or -1, redacted(r[1]), "_id", "c") for r in rows)
+
+
+def test_a_text_of_many_matches(spark):
+    n = 50_000
+    text = " ".join(f"é token=abcdefgh{i}" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    row = ss.secret_report(df).select("n_assign", "base_sha256").first()
+    listed = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=\w+", text))
+    assert row["n_assign"] == n and row["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+    assert ss.redact(df).first()["text"] == " ".join(["é [SECRET]"] * n)
+    assert time.time() - start < 60
+
+
 def test_empty_table(no_docs):
     assert ss.secret_report(no_docs).count() == 0 and ss.redact(no_docs).count() == 0
 

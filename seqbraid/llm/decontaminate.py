@@ -1,39 +1,45 @@
-"""Benchmark decontamination: n-gram seeds, then local alignment.
+"""Benchmark decontamination: rare n-gram seeds join documents to test items, then local alignment.
 
 Texts are compared as sequences of words: lower case, ASCII punctuation as space.
-All n-grams of a test item are its seeds, shared with other items or not.  Around a
-seed that a document holds, it is aligned with the item by Smith-Waterman, word by
-word, unless they have too few words in common; if the best local score reaches a share of what the whole item would give,
-the document holds the item, copied, edited or partly reworded.  So it does if it
-holds a long passage of it nearly word by word.
-
-The items are the query set.  They are taken in blocks of bounded size, each block
-in one pass over the documents, so no document is shuffled and a group of copies
-of any size stays where it is.
+
+1. Every item gives its n-grams.  A bit map of their hashes, of bounded size, goes
+   over the documents once and leaves the places that may hold one.
+2. How often each n-gram occurs in all documents says how rare it is.  Of the
+   n-grams in each window of an item the rarest is a seed.  A window is as long as
+   the stretch that some edits must leave whole, so a copy that is similar enough
+   holds a seed, however common the item's wording is.
+3. Seeds and places are joined by hash; a place must match over a whole window.
+4. Around its seeds a document is aligned with the item by Smith-Waterman, word by
+   word, unless they have too few words in common; if the best local score reaches a
+   share of what the whole item would give, the document holds the item, copied,
+   edited or partly reworded.  So it does if it holds a long passage of it nearly
+   word by word.
+
+Documents and items go by the digest of their text.  A group of copies of any size
+is one text from the join on, and neither table passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqbraid.llm import textkit
+from seqbraid.plans.shared import bounded, materialize
 
-SEED_WORDS = 4
+#: Words of a window, and of a seed in it.
+WINDOW_WORDS, SEED_WORDS = 4, 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Of the score that a full copy gives.  With a fifth of its words replaced an item keeps 0.7.
 MIN_SHARE = 0.7
 #: So many words of an item in a row also count as the item.  Around edits there must be PASSAGE_EDIT more for each edit.
 PASSAGE_WORDS, PASSAGE_EDIT = 32, 4
-#: Bytes of test items in a block, which is what a task holds beside its slice.
-BLOCK_BYTES = 8 << 20
-#: Places where a seed meets an item, held at once; those of a single text are held whole.
-HITS = 1 << 19
+#: Bits of the map of n-grams, as a power of two: 16 a gram within these bounds (8 MB at most).
+LEAST_BITS, MOST_BITS = 16, 26
 
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
@@ -65,172 +71,192 @@ def align(item: np.ndarray, text: np.ndarray, match: int = MATCH, mismatch: int
     return best, end
 
 
-def seed_words(n: int, min_share: float) -> int:
-    """Words of the seeds of an item of n words, SEED_WORDS at most.
+def window_words(n: int, min_share: float) -> int:
+    """Words in a row that stay whole in an item of n words, WINDOW_WORDS at most.
 
     Each replaced or missing word costs 3 of 2 n points, so ``min_share`` bounds how
     many there are, and the longest run between them has at least so many words.
     """
     edits = int((1 - min_share) * MATCH * n / (MATCH - MISMATCH) + 1e-9)
-    return max(1, min(SEED_WORDS, -(-(n - edits) // (edits + 1))))
-
-
-class Index:
-    """Seeds of a block of items, all their n-grams: for each seed length, sorted hashes and their (item, place)."""
-
-    def __init__(self, items: list[tuple[int | None, str]], min_share: float = MIN_SHARE):
-        table = plain(pa.array([t for _, t in items], pa.large_string()))
-        self.ids = [i for i, _ in items]
-        self.words = [table.hashes[a:b] for a, b in zip(table.first, table.first[1:], strict=False)]
-        self.bags = [np.unique(words, return_counts=True) for words in self.words]
-        self.min_share = min_share
-        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for n, words in enumerate(self.words):
-            if len(words):
-                k = seed_words(len(words), min_share)
-                grams = textkit.runs(words, k)
-                found.setdefault(k, []).append((grams, np.full(len(grams), n), np.arange(len(grams))))
-        self.seeds = {}
-        for k, rows in found.items():
-            keys, item, place = map(np.concatenate, zip(*rows, strict=True))
-            order = np.argsort(keys, kind="stable")
-            self.seeds[k] = keys[order], item[order], place[order]
-
-    def _met(self, table: textkit.Words) -> Iterator[np.ndarray]:
-        """(text, item number, first word of the item if it stands there, seeds that say so), by whole texts; about HITS rows at once."""
-        parts = []
-        for k, (keys, item, place) in self.seeds.items():
-            grams = textkit.runs(table.hashes, k)
-            if not len(grams):
-                continue
-            low = np.searchsorted(keys, grams)
-            at = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == grams)
-            text = np.searchsorted(table.first, at, "right") - 1
-            at, text = at[inside := at + k <= table.first[text + 1]], text[inside]
-            parts.append((text, at, low[at], np.searchsorted(keys, grams[at], "right") - low[at], item, place))
-        size = np.zeros(len(table.first), np.int64)
-        for text, _, _, times, _, _ in parts:
-            np.add.at(size, text, times)
-        total = np.cumsum(size)
-        start = 0
-        while start < len(size):
-            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + HITS, "right")))
-            met = []
-            for text, at, low, times, item, place in parts:
-                a, b = np.searchsorted(text, [start, end])
-                many = times[a:b]
-                which = np.repeat(low[a:b], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                met.append(np.column_stack([np.repeat(text[a:b], many), item[which], np.repeat(at[a:b], many) - place[which]]))
-            hits = np.concatenate(met) if met else np.zeros((0, 3), np.int64)
-            if len(hits):
-                hits = hits[np.lexsort(hits.T[::-1])]
-                edges = np.flatnonzero(np.concatenate([[True], np.any(np.diff(hits, axis=0) != 0, axis=1)]))
-                yield np.column_stack([hits[edges], np.diff(edges, append=len(hits))])
-            start = end
-
-    def _could(self, item: int, text: np.ndarray) -> bool:
-        """Whether the words that item and text share, in any order, could reach the share: matches are among them."""
-        keys, times = self.bags[item]
-        at = np.minimum(np.searchsorted(keys, text), len(keys) - 1)
-        there = np.bincount(at[keys[at] == text], minlength=len(keys))
-        return np.minimum(there, times).sum() >= self.min_share * len(self.words[item]) - 1e-9
-
-    def search(self, table: textkit.Words) -> list[tuple[int, int, float, int, int]]:
-        """(text, item number, share, end word, words) of each item found in each text.
-
-        A passage of M matched words and E edits has M - 3 (E + 1) seeds of four words
-        at least, so windows with fewer than PASSAGE_WORDS - 3 of them hold none.
-        """
-        out = []
-        for hits in self._met(table):
-            edges = np.flatnonzero(np.any(np.diff(hits[:, :2], axis=0) != 0, axis=1)) + 1
-            for group in np.split(hits, edges):
-                text, item = int(group[0, 0]), int(group[0, 1])
-                words = self.words[item]
-                first, last = int(table.first[text]), int(table.first[text + 1])
-                slack = max(4, len(words) // 2)
-                best, passage = (0, 0), (0, 0)
-                start = end = -1
-                seeds = 0
-                for begin, times in [*group[:, 2:].tolist(), (None, 0)]:
-                    if begin is not None and end >= 0 and begin - slack <= end:
-                        end = begin + len(words) + slack
-                        seeds += times
-                        continue
-                    if end >= 0:
-                        a, b = max(first, start), min(last, end)
-                        near = 0
-                        if len(words) >= PASSAGE_WORDS and seeds > PASSAGE_WORDS - SEED_WORDS:
-                            near, stop = align(words, table.hashes[a:b], 1, -PASSAGE_EDIT, -PASSAGE_EDIT)
-                            passage = max(passage, (near, a + stop - first), key=lambda x: x[0])
-                        if near >= PASSAGE_WORDS or self._could(item, table.hashes[a:b]):
-                            score, stop = align(words, table.hashes[a:b])
-                            best = max(best, (score, a + stop - first), key=lambda x: x[0])
-                    if begin is not None:
-                        start, end, seeds = begin - slack, begin + len(words) + slack, times
-                share = best[0] / (MATCH * len(words))
-                if share >= self.min_share:
-                    out.append((text, item, share, best[1], len(words)))
-                elif passage[0] >= PASSAGE_WORDS:
-                    out.append((text, item, share, passage[1], len(words)))
-        return out
-
-
-def _search(items: list[tuple[int, str]], min_share: float):
+    return max(1, min(WINDOW_WORDS, -(-(n - edits) // (edits + 1))))
+
+
+def _grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of k-grams; grams of unlike lengths have unlike hashes."""
+    return textkit.mix(textkit.runs(hashes, k) + np.uint64(k))
+
+
+def _item_grams(min_share: float):
+    """(item, gram, place, before, after, k, window) of the items' n-grams; before and after: the words beside, 1 for none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, min_share)
         for part in textkit.slices(batches, "text"):
-            found = index.search(plain(part.column("text")))
-            rows = pa.array([f[0] for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), pa.array([index.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())], ["doc_id", "item_id", "similarity", "end_word", "item_words"])
+            table = plain(part.column("text"))
+            for i, (a, b) in enumerate(zip(table.first, table.first[1:], strict=False)):
+                words = table.hashes[a:b]
+                if not len(words):
+                    continue
+                window = window_words(len(words), min_share)
+                k = min(SEED_WORDS, window)
+                grams = _grams(words, k)
+                edge = np.ones(1, np.uint64)
+                before, after = np.concatenate([edge, words])[: len(grams)], np.concatenate([words[k:], edge])
+                n = len(grams)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("item").take(pa.array(np.full(n, i))), *(pa.array(x.view(np.int64)) for x in (grams, np.arange(n), before, after)), pa.array(np.full(n, k), pa.int32()), pa.array(np.full(n, window), pa.int32())],
+                    ["item", "gram", "place", "before", "after", "k", "window"],
+                )
 
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
-    held, size = [], 0
-    for row in benchmark.toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        size += len(row["text"])
-        if size >= block_bytes:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _places(bits: np.ndarray, lengths: list[int]):
+    """(fp, gram, at, before, after): where a text may hold one of the grams; 0 beside it for none."""
+    mask = np.uint64(64 * len(bits) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textkit.slices(batches, "text"):
+            table = plain(part.column("text"))
+            for k in lengths:
+                grams = _grams(table.hashes, k)
+                bit = grams & mask
+                at = np.flatnonzero((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+                text = np.searchsorted(table.first, at, "right") - 1
+                inside = at + k <= table.first[text + 1]
+                at, text = at[inside], text[inside]
+                first, last = table.first[text], table.first[text + 1]
+                before = np.where(at > first, table.hashes[at - 1], np.uint64(0))
+                after = np.where(at + k < last, table.hashes[np.minimum(at + k, len(table.hashes) - 1)], np.uint64(0))
+                yield pa.RecordBatch.from_arrays([part.column("fp").take(pa.array(text)), *(pa.array(x.view(np.int64)) for x in (grams[at], at - first, before, after))], ["fp", "gram", "at", "before", "after"])
+
+    return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _bit_map(grams: DataFrame) -> np.ndarray:
+    """Bits of the grams' hashes; the driver sees this map, whose size is bounded, and no gram."""
+    n = grams.count()
+    power = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    bit = F.col("gram").bitwiseAND((1 << power) - 1)
+    words = grams.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit"))
+    out = np.zeros(1 << (power - 6), np.int64)
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most 2 ** (MOST_BITS - 6) rows
+        out[row["word"]] = row["bits"]
+    return out.view(np.uint64)
+
+
+def seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """The grams of which each is the rarest of a window, the first of equal ones; ``counts``: gram, n."""
+    known = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    row = Window.partitionBy("item").orderBy("place")
+    rarer = (F.col("n") < F.lag("n").over(row)) | (F.col("n") <= F.lead("n").over(row))
+    alone = F.lag("n").over(row).isNull() & F.lead("n").over(row).isNull()
+    return known.withColumn("chosen", (F.col("window") == F.col("k")) | F.coalesce(rarer, F.lit(False)) | alone).where("chosen").drop("chosen", "n")
+
+
+def _windows(begins: list[int], n: int) -> list[tuple[int, int, int]]:
+    """(start, end, seeds) of the stretches of a text around places where the item would begin."""
+    slack, out = max(4, n // 2), []
+    for begin in begins:
+        if out and begin - slack <= out[-1][1]:
+            start, _, seen = out[-1]
+            out[-1] = (start, begin + n + slack, seen + 1)
+        else:
+            out.append((begin - slack, begin + n + slack, 1))
+    return out
+
+
+def search(item: np.ndarray, text: np.ndarray, begins: list[int], min_share: float) -> tuple[float, int] | None:
+    """(share, end word) of the item in the text, if it holds it; ``begins``: where its seeds say it starts.
+
+    A passage of M matched words and E edits holds M - 3 (E + 1) windows of four
+    words, and at least half as many seeds.
+    """
+    keys, times = np.unique(item, return_counts=True)
+    best, passage = (0, 0), (0, 0)
+    for start, end, seen in _windows(sorted(begins), len(item)):
+        a, b = max(0, start), min(len(text), end)
+        there = text[a:b]
+        near = 0
+        if len(item) >= PASSAGE_WORDS and 2 * seen > PASSAGE_WORDS - WINDOW_WORDS:
+            near, stop = align(item, there, 1, -PASSAGE_EDIT, -PASSAGE_EDIT)
+            passage = max(passage, (near, a + stop), key=lambda x: x[0])
+        at = np.minimum(np.searchsorted(keys, there), len(keys) - 1)
+        shared = np.minimum(np.bincount(at[keys[at] == there], minlength=len(keys)), times).sum()
+        if near >= PASSAGE_WORDS or shared >= min_share * len(item) - 1e-9:
+            score, stop = align(item, there)
+            best = max(best, (score, a + stop), key=lambda x: x[0])
+    share = best[0] / (MATCH * len(item))
+    if share >= min_share:
+        return share, best[1]
+    return (share, passage[1]) if passage[0] >= PASSAGE_WORDS else None
+
+
+def _align(min_share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textkit.slices(batches, "text"):
+            texts, items = plain(part.column("text")), plain(part.column("item_text"))
+            out = []
+            for i, begins in enumerate(part.column("begins").to_pylist()):
+                item = items.hashes[items.first[i] : items.first[i + 1]]
+                found = search(item, texts.hashes[texts.first[i] : texts.first[i + 1]], [x["begin"] for x in begins], min_share)
+                if found:
+                    out.append((i, *found, len(item)))
+            rows, share, end, size = zip(*out, strict=True) if out else ((), (), (), ())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("fp").take(at), part.column("item").take(at), pa.array(share, pa.float64()), pa.array(end, pa.int64()), pa.array(size, pa.int64())], ["fp", "item", "similarity", "end_word", "item_words"])
+
+    return run
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def leaks(texts: DataFrame, items: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """(fp, item, similarity, end_word, item_words): which text holds which item, both by the digest of their text.
+
+    ``texts`` and ``items`` have a column text; repeated texts give one row.
+    """
+    own = texts.select(_digest(F.col("text")).alias("fp"), "text")
+    tests = items.select(_digest(F.col("text")).alias("item"), F.col("text")).where("text is not null").dropDuplicates(["item"])
+    grams = materialize(tests.mapInArrow(_item_grams(min_share), "item binary, gram long, place long, before long, after long, k int, window int"), "item_grams")
+    lengths = sorted(r["k"] for r in grams.select("k").distinct().collect())  # at most SEED_WORDS rows
+    places = materialize(own.mapInArrow(_places(_bit_map(grams), lengths), "fp binary, gram long, at long, before long, after long"), "places")
+    counts = places.groupBy("gram").agg(F.count("*").alias("n"))
+    chosen = materialize(seeds(grams, counts), "seeds")
+    p, s = places.alias("p"), chosen.alias("s")
+    whole = (F.col("s.window") == F.col("s.k")) | (F.col("p.before") == F.col("s.before")) | (F.col("p.after") == F.col("s.after"))
+    met = p.join(s, (F.col("p.gram") == F.col("s.gram")) & whole).select("fp", "item", F.struct((F.col("at") - F.col("place")).alias("begin"), "place").alias("seed"))
+    pairs = materialize(met.groupBy("fp", "item").agg(F.collect_set("seed").alias("begins")), "candidates")
+    held = own.join(bounded(materialize(pairs.select("fp").distinct(), "met")), "fp", "left_semi").dropDuplicates(["fp"])
+    both = pairs.join(held, "fp").join(tests.withColumnRenamed("text", "item_text"), "item")
+    return both.mapInArrow(_align(min_share), "fp binary, item binary, similarity double, end_word long, item_words long")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, item_id, similarity, end_word, item_words: one row per document and item it holds.
 
     ``benchmark`` has item_id and text.  ``similarity`` is the alignment score over
     that of a full copy, which is under ``min_share`` where only a passage of
-    PASSAGE_WORDS words is found; ``end_word``: where in the document the copy ends.  Null or
-    empty texts and items without a word hold nothing and are found nowhere; rows
-    that repeat an id are searched each, with one row per item for each of them.  Items without an
-    id, and other columns, are not used.
+    PASSAGE_WORDS words is found; ``end_word``: where in the document the copy ends.
+    Null or empty texts and items without a word hold nothing and are found nowhere;
+    rows that repeat an id, or have none, are searched each, with one row per item
+    for each of them.  Items without an id are not reported; two items of one text
+    both are.  Other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    schema = f"doc_id {kind}, item_id long, similarity double, end_word long, item_words long"
-    found = [own.mapInArrow(_search(block, min_share), schema) for block in _blocks(items, block_bytes)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
-
-
-def _drop(items: list[tuple[int | None, str]], text_col: str, min_share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, min_share)
-        for part in textkit.slices(batches, text_col):
-            kept = np.ones(part.num_rows, bool)
-            kept[[f[0] for f in index.search(plain(part.column(text_col)))]] = False
-            yield part.filter(pa.array(kept))
+    found = materialize(leaks(own, items, min_share), "leaks")
+    named = found.join(items.select("item_id", _digest(F.col("text")).alias("item")), "item")
+    return own.select("doc_id", _digest(F.col("text")).alias("fp")).join(bounded(materialize(named, "named")), "fp").select("doc_id", "item_id", "similarity", "end_word", "item_words")
 
-    return run
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, with an id or without, all columns unchanged.
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with an id or without, all columns unchanged."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"])
-    for block in _blocks(items, block_bytes):
-        docs = docs.mapInArrow(_drop(block, text_col, min_share), docs.schema)
-    return docs
+    Null and empty texts are kept; rows that repeat each other go or stay together;
+    an empty benchmark drops nothing; other columns may have any name.
+    """
+    found = leaks(docs.select(F.col(text_col).cast("string").alias("text")), benchmark.select(F.col("text").cast("string").alias("text")), min_share)
+    gone = materialize(found.select("fp").distinct(), "leaks")
+    return docs.alias("_docs").join(bounded(gone).alias("_gone"), _digest(F.col(f"_docs.{text_col}").cast("string")) == F.col("_gone.fp"), "left_anti")

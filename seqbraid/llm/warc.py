@@ -33,18 +33,23 @@ def digest(payload: bytes) -> str:
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``headers`` with refers_to: the page whose record holds the same payload, else null."""
+    """``headers`` with refers_to: the page whose record holds the same payload, else null.
+
+    The originals are a table of their own, of payloads that come more than once, so
+    that adaptive skew joins can split the headers of a payload that most pages have.
+    """
     groups = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("sha1", "payload_bytes")
-    first = groups.agg(F.max("page_id").alias("original"))
+    first = materialize(groups.agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n"), "originals")
     joined = headers.join(first, ["sha1", "payload_bytes"], "left")
-    return joined.select("page_id", "payload_bytes", "sha1", F.when(F.col("original") != F.col("page_id"), F.col("original")).alias("refers_to"))
+    other = F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("page_id"))
+    return joined.select("page_id", "payload_bytes", "sha1", F.when(other, F.col("original")).alias("refers_to"))
 
 
-def record_id(page: int, payload_digest: str) -> str:
+def record_id(page: int | None, payload_digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page}:{payload_digest}')}>"
 
 
-def record(page: int, url: str | None, payload: bytes, size: int, payload_digest: str, refers_to: int | None, date: str) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, size: int, payload_digest: str, refers_to: int | None, date: str) -> bytes:
     """One record with fresh headers; ``payload`` is not stored in a revisit."""
     fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page, payload_digest)), ("WARC-Date", date)]
     if url:
@@ -52,7 +57,7 @@ def record(page: int, url: str | None, payload: bytes, size: int, payload_digest
     if refers_to is not None:
         fields += [("WARC-Refers-To", record_id(refers_to, payload_digest)), ("WARC-Profile", _PROFILE), ("X-Refers-To-Page", str(refers_to))]
     block = _HTTP % size + (payload if refers_to is None else b"")
-    fields += [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("X-Page-ID", str(page)), ("X-Payload-Length", str(size)), ("Content-Length", str(len(block)))]
+    fields += [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), *([("X-Page-ID", str(page))] if page is not None else []), ("X-Payload-Length", str(size)), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -79,14 +84,16 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
 
     Null html is an empty payload.  Of payloads with at least ``min_bytes`` bytes
     that are equal, all but the largest page id become revisits; rows that repeat
-    that id and payload are responses too.  Rows without a page id can't be
-    referred to and are left out.  Other columns are not read.
+    that id and payload are responses too.  A page without an id can't be referred
+    to: it revisits the page of its payload that has the largest id, or is a
+    response where none has one.  Other columns are not read.
     """
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html")).where("page_id is not null")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
     own = own.withColumn("sha1", F.sha1(F.coalesce("html", F.lit(b""))))
     headers = own.select("page_id", F.octet_length(F.coalesce("html", F.lit(b""))).cast("long").alias("payload_bytes"), "sha1")
     decided = resolve(materialize(headers, "headers").distinct(), min_bytes)
-    joined = own.join(decided.hint("shuffle_hash"), ["page_id", "sha1"])
+    o, d = own.alias("o"), decided.alias("d")
+    joined = o.join(d, (F.col("o.sha1") == F.col("d.sha1")) & F.col("o.page_id").eqNullSafe(F.col("d.page_id"))).select("o.*", "d.payload_bytes", "d.refers_to")
     return materialize(joined.mapInArrow(_writer(folder, date, level), "file string, n_records long"), "manifest")
 
 
@@ -133,7 +140,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         payload = block.partition(b"\r\n\r\n")[2]
                         size, own = len(payload), digest(payload)
                     original = fields.get("X-Refers-To-Page")
-                    rows.append((int(fields["X-Page-ID"]), fields.get("WARC-Target-URI"), size, own, fields["WARC-Type"], int(original) if original else None))
+                    page = fields.get("X-Page-ID")
+                    rows.append((int(page) if page else None, fields.get("WARC-Target-URI"), size, own, fields["WARC-Type"], int(original) if original else None))
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -156,8 +164,8 @@ def deduplicated_sql(table: str = "pages") -> str:
     letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({digits} >> {shift}) & 31)::int + 1, 1)"
     four = " || ".join(letter.format(digits=digits, shift=x) for x in (15, 10, 5, 0))
     return (
-        f"with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as h from {table} where page_id is not null), "
+        f"with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as h from {table}), "
         "o as (select *, max(page_id) over (partition by h, payload_bytes) as original from p) "
         f"select page_id, payload_bytes, list_aggregate(list_transform(range(0, 8), lambda i: {four}), 'string_agg', '') as payload_digest, "
-        "case when original = page_id then 'response' else 'revisit' end as record_type, nullif(original, page_id) as refers_to from o"
+        "case when original is null or original = page_id then 'response' else 'revisit' end as record_type, nullif(original, page_id) as refers_to from o"
     )

@@ -1,20 +1,19 @@
-"""SentencePiece encoding by a forward pass shared between words.
+"""SentencePiece encoding by Viterbi, its forward scores shared between words.
 
 A text is marked as the model's normaliser does (a mark before it and for every
 space) and cut before each run of marks; no piece reaches over such a cut.  The
 distinct marked words of a slice are sorted, which lays them out as a trie in
-depth-first order: a word begins where it leaves its predecessor, and what the
-forward pass found for the prefix they share stays on the stack.  Each position
-looks leftwards only as far as some piece has such an ending.
-
-Unigram models: the forward pass is Viterbi's.  The segmentation maximises the sum
-of the piece scores; of equal ones the longer last piece wins.
-
-BPE models: their scores are merge ranks, and a segmentation of the best sum is
-mostly not the one that merging gives.  The pass therefore keeps each prefix's
-last piece instead of its best score.  Merging a prefix ends in piece t just if
-merging the rest ends in some piece s, and s and t side by side stay two pieces
-when merged; exactly one t qualifies.  The answers for pairs (s, t) are kept.
+depth-first order: a word begins where it leaves its predecessor, and the forward
+scores of the prefix they share stay on the stack.  Each position looks leftwards
+only as far as some piece has such an ending.  The segmentation maximises the sum of
+the pieces' scores; of equal ones the longer last piece wins.
+
+For BPE models the library merges pairs instead, by the same scores as ranks, and
+the two segmentations of a word may differ.  So the same walk of the trie also keeps
+each prefix's last piece under merging: merging a prefix ends in piece t just if
+merging the rest ends in some piece s, and s and t side by side stay two pieces when
+merged.  Should a prefix have no such piece, its word is merged by itself.  Texts
+say whether both agree, and ``merge=True`` gives the library's ids.
 
 Characters without a piece become byte pieces.  Decoding turns pieces back into
 bytes, marks into spaces, and drops the first.
@@ -95,7 +94,7 @@ class Pieces:
             for i in range(len(piece)):
                 self.ending.setdefault(piece[i:])
         self.ending.update(self.score)
-        self.cache: dict[str, tuple[bytes, float]] = {}
+        self.cache: dict[str, tuple[bytes, float, bytes]] = {}
         self.bpe = bpe
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
@@ -117,15 +116,19 @@ class Pieces:
     def _stay(self, before: str, after: str) -> bool:
         return self.merged(before + after) == ([before, after] if before else [after])
 
-    def _last_pieces(self, word: str, shared: int, last: list[str]) -> None:
-        """For each longer prefix, the piece that merging it ends in."""
+    def _last_pieces(self, word: str, shared: int, last: list[str], unsure: list[int]) -> None:
+        """For each longer prefix, the piece that merging it ends in; ``unsure``: prefixes for which the rule finds none."""
         ending, pairs = self.ending, self.pairs
+        while unsure and unsure[-1] > shared:
+            unsure.pop()
         for j in range(shared + 1, len(word) + 1):
             i = j - 1
             while True:
-                text = word[i:j]
-                if text not in ending and i < j - 1:
-                    raise AssertionError(f"no segmentation of {word[:j]!r}")
+                text = word[i:j] if i >= 0 else None
+                if i < 0 or (text not in ending and i < j - 1):
+                    last.append(self.merged(word[:j])[-1])
+                    unsure.append(j)
+                    break
                 if i == j - 1 or ending[text] is not None:
                     known = pairs.get(last[i])
                     if known is None:
@@ -156,35 +159,45 @@ class Pieces:
             best.append(high)
             last.append(held)
 
-    def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[int], float]]:
-        """Each distinct word of a sorted list with its ids and the sum of their scores."""
-        last, best = [""], [0.0]
+    def _ids(self, pieces: list[str]) -> tuple[array, float]:
+        ids, total = array("I"), 0.0
+        for piece in pieces:
+            if piece in self.score:
+                value, of = self.score[piece]
+                ids.append(of)
+                total += value
+            else:
+                ids.extend([self.bytes.get(b, 0) for b in piece.encode()])
+                total += self.unknown
+        return ids, total
+
+    @staticmethod
+    def _back(word: str, last: list[str]) -> list[str]:
+        out, j = [], len(word)
+        while j:
+            out.append(last[j])
+            j -= len(last[j])
+        out.reverse()
+        return out
+
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, array, float, array | None]]:
+        """Each distinct word of a sorted list with its ids, the sum of their scores, and its merged ids where those differ."""
+        last, best, merged, unsure = [""], [0.0], [""], []
         if self.n_pairs > CACHE:
             self.pairs.clear()
             self.n_pairs = 0
-        score = self.score
         for word, shared in zip(words, common_prefixes(words), strict=True):
-            del last[shared + 1 :], best[shared + 1 :]
+            del last[shared + 1 :], best[shared + 1 :], merged[shared + 1 :]
+            self._best_pieces(word, shared, last, best)
+            pieces, other = self._back(word, last), None
             if self.bpe:
-                self._last_pieces(word, shared, last)
-            else:
-                self._best_pieces(word, shared, last, best)
-            ids, total, j = [], 0.0, len(word)
-            while j:
-                piece = last[j]
-                if piece in score:
-                    value, of = score[piece]
-                    ids.append(of)
-                    total += value
-                else:
-                    ids += [self.bytes.get(b, 0) for b in reversed(piece.encode())]
-                    total += self.unknown
-                j -= len(piece)
-            ids.reverse()
-            yield word, ids, total
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
-        """Ids of whole texts, as native unsigned 32-bit integers, with their scores."""
+                self._last_pieces(word, shared, merged, unsure)
+                found = self.merged(word) if unsure else self._back(word, merged)
+                other = self._ids(found)[0] if found != pieces else None
+            yield word, *self._ids(pieces), other
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, float, bytes]]:
+        """Ids of whole texts, as native unsigned 32-bit integers, with their scores and the merged ids."""
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
@@ -198,12 +211,13 @@ class Pieces:
         for x in new:
             (usual if len(x) < LONGEST_CACHED else rest).append(MARK + x)
         for words, kept in ((usual, cache), (rest, long)):
-            for word, ids, score in self.encode_words(sorted(words)):
-                kept[word[1:]] = (array("I", ids).tobytes(), score)
+            for word, ids, score, merged in self.encode_words(sorted(words)):
+                own = ids.tobytes()
+                kept[word[1:]] = (own, score, own if merged is None else merged.tobytes())
         out = []
         for words in split:
             held = [cache[x] if x in cache else long[x] for x in words] if long else list(map(cache.__getitem__, words))
-            out.append((b"".join([x[0] for x in held]), sum([x[1] for x in held])))
+            out.append((b"".join([x[0] for x in held]), sum([x[1] for x in held]), b"".join([x[2] for x in held])))
         return out
 
     @staticmethod
@@ -239,34 +253,43 @@ def model(path: str) -> Pieces:
     return _models[path]
 
 
-def _encode(path: str, with_ids: bool):
+def _crc(ids: bytes) -> int:
+    return zlib.crc32(np.frombuffer(ids, np.uint32).astype("<u4").tobytes())
+
+
+def _encode(path: str, merge: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for part in textkit.slices(batches, "text"):
             texts = [x or "" for x in part.column("text").to_pylist()]
             found = pieces.encode(texts)
-            same = [pieces.decode(ids) == text for text, (ids, _) in zip(texts, found, strict=True)]
-            columns = [part.column("doc_id"), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([zlib.crc32(np.frombuffer(x, np.uint32).astype("<u4").tobytes()) for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64()), pa.array(same)]
-            names = ["doc_id", "n_pieces", "ids_crc32", "score", "round_trip"]
+            given = [x[2] if merge else x[0] for x in found]
+            same = [pieces.decode(ids) == text for text, ids in zip(texts, given, strict=True)]
+            columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in given], pa.int64()), pa.array(map(_crc, given), pa.int64()), pa.array([x[1] for x in found], pa.float64()), pa.array(same), pa.array([x[0] == x[2] for x in found] if pieces.bpe else [None] * len(found), pa.bool_())]
+            names = ["doc_id", "n_pieces", "ids_crc32", "score", "round_trip", "as_merged"]
             if with_ids:
-                flat = np.frombuffer(b"".join([x for x, _ in found]), np.uint32).astype(np.int32)
-                at = np.cumsum([0, *(len(x) // 4 for x, _ in found)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(given), np.uint32).astype(np.int32)
+                at = np.cumsum([0, *(len(x) // 4 for x in given)]).astype(np.int32)
                 columns, names = [*columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, score, round_trip and the ids of every whole text.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", merge: bool = False, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, score, round_trip, as_merged and the ids of every whole text.
 
-    Null text counts as empty and has no pieces.  ``round_trip``: decoding the ids
-    gives the text back; only a text that itself holds the mark U+2581 fails.  One
-    row per input row, ids null or repeated included; only the two columns are read.
+    ``score``: of the Viterbi segmentation.  ``as_merged``: for a BPE model, whether
+    merging, as the library does it, gives the same ids; null for others.  ``merge``
+    gives the merged ids.  Null text counts as empty and has no pieces.
+    ``round_trip``: decoding the ids gives the text back; only a text that itself
+    holds the mark U+2581 fails.  One row per input row, ids null or repeated
+    included, equal texts alike; an empty table gives an empty result; only the two
+    columns are read.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(_encode(path, with_ids), f"doc_id {kind}, n_pieces long, ids_crc32 long, score double, round_trip boolean" + ", ids array<int>" * with_ids)
+    return own.mapInArrow(_encode(path, merge, with_ids), f"doc_id {kind}, n_pieces long, ids_crc32 long, score double, round_trip boolean, as_merged boolean" + ", ids array<int>" * with_ids)
 
 
 def _decode(path: str):

@@ -37,7 +37,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives it back."""
     ship.ensure(spark)
-    return sentencepieces.encode(docs, f"{registry.TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepieces.encode(docs, registry.PIECE_BPE)
 
 
 STAGES = [

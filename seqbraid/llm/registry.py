@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from seqbraid.llm import decontaminate, language_id, lm_scoring, near_dedup, quality_fm, quality_rules, secret_scan, sentencepieces, token_files, warc
 from seqbraid.plans import ship
 
-#: The folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Vocabularies of the public tokenizers.
+BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,11 +30,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.encode(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", with_ids=False)
+    return sentencepieces.encode(_table(spark, sf_dir, "documents"), PIECE_BPE, with_ids=False)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
 def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Token ids as independent zstandard frames with a trailing seek table.
 
 A file is a sequence of frames, one per document in ascending id order, each with
-a content checksum; a skippable frame with the documents' ids and token counts;
-and the seek table of the public zstandard seekable format (compressed size,
+a content checksum; a skippable frame with the documents' ids (those without
+one come first) and token counts; and the seek table of the public zstandard seekable format (compressed size,
 decompressed size and XXH64 checksum of each frame).  A reader takes the tables at
 the end of a file and then decompresses the frames it wants, nothing else.
 
@@ -26,6 +26,7 @@ from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -35,8 +36,12 @@ from seqbraid.plans.shared import materialize, new_path
 
 END_ID = 2
 ROWS_PER_FILE = 8192
-#: Parts that a worker remembers; beyond, the later half is forgotten.
-CACHE = 1_200_000
+#: Files at most; larger corpora get larger files.  So the driver's borders and manifest have a bounded size.
+MOST_FILES = 20_000
+#: Ids that the driver sorts for each border between files.
+SAMPLED = 50
+#: Parts of up to LONGEST characters that a worker remembers; beyond, the later half is forgotten.
+CACHE, LONGEST = 500_000, 40
 #: Parts that one call encodes end to end.
 JOINED = 500
 #: Letters of U+0041 to U+024F, and ASCII punctuation.
@@ -148,6 +153,9 @@ class Encoder:
         self.whole.update(zip(unseen, self._ids(unseen), strict=True))
         for i, parts in slow:
             out[i] = b"".join([self.whole[x] for x in parts]) + out[i]
+        for seen, parts in ((self.later, new), (self.whole, unseen)):
+            for part in [x for x in parts if len(x) > LONGEST]:
+                seen.pop(part, None)
         return out
 
 
@@ -166,7 +174,7 @@ def _frames(path: str, bounds: np.ndarray, width: int) -> Iterator:
         end = np.array([END_ID], f"<u{width}").tobytes()
         pack = zstandard.ZstdCompressor(level=1, write_checksum=True)
         for part in textkit.slices(batches, "text"):
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(part.column("doc_id"), -(1 << 63)).to_numpy(zero_copy_only=False)
             texts = [x or "" for x in part.column("text").to_pylist()]
             data = [x + end for x in encoder(path, width).encode(texts)]
             yield pa.RecordBatch.from_arrays(
@@ -183,7 +191,7 @@ class _File:
         self.out, self.uri = files.write(folder, f"tokens-{bucket:06d}", ".zst")
         self.ids, self.counts, self.sizes, self.sums = [], [], [], []
 
-    def add(self, doc: int, count: int, checksum: int, frame: bytes) -> None:
+    def add(self, doc: int | None, count: int, checksum: int, frame: bytes) -> None:
         self.out.write(frame)
         self.ids.append(doc)
         self.counts.append(count)
@@ -191,8 +199,9 @@ class _File:
         self.sums.append(checksum)
 
     def close(self) -> tuple:
-        index = np.array(self.ids, "<i8").tobytes() + np.array(self.counts, "<u4").tobytes()
-        self.out.write(struct.pack("<IIB", _INDEX_MAGIC, len(index) + 1, self.width) + index)
+        known = [x for x in self.ids if x is not None]
+        index = np.array([0] * (len(self.ids) - len(known)) + known, "<i8").tobytes() + np.array(self.counts, "<u4").tobytes()
+        self.out.write(struct.pack("<IIBI", _INDEX_MAGIC, len(index) + 5, self.width, len(self.ids) - len(known)) + index)
         entries = np.array([self.sizes, np.array(self.counts, np.int64) * self.width, self.sums], np.int64).T.astype("<u4").tobytes()
         self.out.write(struct.pack("<II", _SEEK_MAGIC, len(entries) + 9) + entries + struct.pack("<IBI", len(self.ids), 0x80, _SEEKABLE))
         self.out.close()
@@ -224,15 +233,22 @@ def _writer(folder: str, width: int):
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = ROWS_PER_FILE, width: int = 2) -> DataFrame:
     """Encode whole texts and write them in ascending id order; returns the manifest.
 
-    Null text counts as empty and holds the end id alone.  Rows without an id have
-    no place in the order and are left out; rows that repeat an id all stay, in
-    the order of their frames' bytes.  ``width``: bytes an id takes in the files,
-    2 or 4; the vocabulary must fit.  Only the two named columns are read.
+    Null text counts as empty and holds the end id alone.  Rows without an id come
+    first; rows that repeat an id, or have none, all stay, in the order of their
+    frames' bytes.  An empty table gives no file.  ``width``: bytes an id takes in
+    the files, 2 or 4; the vocabulary must fit.  Whole texts are encoded, a long one
+    by itself.  Only the two named columns are read.  Borders between files come
+    from a sample of the ids, chosen by their hashes, of at most SAMPLED * MOST_FILES.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = own.select("doc_id").count()
-    count = max(1, -(-n // rows_per_file))
-    bounds = own.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], max(10_000, 20 * count))).first()[0] if count > 1 and n else []
+    count = max(1, min(MOST_FILES, -(-n // rows_per_file)))
+    bounds = []
+    if count > 1:
+        share = min(1.0, SAMPLED * count / n)
+        some = own.select("doc_id").where((F.pmod(F.xxhash64("doc_id", F.lit("border")), F.lit(1 << 40)) <= share * (1 << 40)) & F.col("doc_id").isNotNull())
+        seen = np.sort(some.toArrow().column("doc_id").to_numpy())
+        bounds = seen[(np.arange(1, count) * len(seen)) // count] if len(seen) else []
     frames = own.mapInArrow(_frames(tokenizer, np.unique(np.array(bounds, np.int64)), width), "bucket int, doc_id long, n_tokens long, checksum long, frame binary")
     dealt = frames.repartition(count, "bucket").sortWithinPartitions("bucket", "doc_id", "frame")
     return materialize(dealt.mapInArrow(_writer(folder, width), _MANIFEST), "manifest")
@@ -248,9 +264,9 @@ class TokenFile:
         count, flags, magic = struct.unpack("<IBI", self.stream.read(9))
         if magic != _SEEKABLE or not flags & 0x80:
             raise ValueError(f"{uri} has no seek table")
-        index = 8 + 1 + 12 * count
+        index = 8 + 5 + 12 * count
         self.stream.seek(size - 9 - 12 * count - 8 - index)
-        kind, _, self.width = struct.unpack("<IIB", self.stream.read(9))
+        kind, _, self.width, self.nameless = struct.unpack("<IIBI", self.stream.read(13))
         if kind != _INDEX_MAGIC:
             raise ValueError(f"{uri} has no index")
         self.ids = np.frombuffer(self.stream.read(8 * count), "<i8")
@@ -270,7 +286,7 @@ class TokenFile:
         return np.frombuffer(data, f"<u{self.width}").astype("<u4")
 
     def document(self, doc_id: int) -> list[np.ndarray]:
-        a, b = np.searchsorted(self.ids, [doc_id, doc_id + 1])
+        a, b = self.nameless + np.searchsorted(self.ids[self.nameless :], [doc_id, doc_id + 1])
         return [self.tokens(i) for i in range(a, b)]
 
     def close(self) -> None:
@@ -289,7 +305,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[i] = zlib.crc32(ids.tobytes())
             held.close()
             starts = base + np.cumsum(held.counts) - held.counts
-            yield pa.RecordBatch.from_arrays([pa.array(held.ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(held.counts, pa.int64()), pa.array(sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            nameless = np.arange(len(held.ids)) < held.nameless
+            yield pa.RecordBatch.from_arrays([pa.array(held.ids, pa.int64(), mask=nameless), pa.array(starts, pa.int64()), pa.array(held.counts, pa.int64()), pa.array(sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:

@@ -111,10 +111,12 @@ def classify(docs: DataFrame, content: dict[str, bytes], text_col: str = "text",
 
     Null text, and text without a letter, is ``und`` with score and margin 0; so is
     every text if no language was learned.  Equal sizes go to the first language in
-    alphabetical order, with margin 0.  Columns of ``docs`` named as one of
-    ``names`` are replaced.
+    alphabetical order, with margin 0.  The three ``names`` must not be among the
+    columns kept.
     """
-    columns = [c for c in (keep or docs.columns) if c not in names]
+    columns = list(keep or docs.columns)
+    if clash := set(columns) & set(names):
+        raise ValueError(f"columns {sorted(clash)} are there already")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema), f"{names[0]} string, {names[1]} double, {names[2]} double"])
     return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(_predict(content, text_col, columns, list(names)), schema)
 
@@ -124,7 +126,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Dictionaries come only from rows whose crc32 of the id as text doesn't leave
     ``held_out`` modulo ``mod`` and whose language isn't null.  ``rejected``: no
-    letter, or a margin under ``min_margin``.
+    letter, or a margin under ``min_margin``.  One row per input row: rows that
+    repeat an id or a text are judged each, and equal texts alike; a null id is kept
+    and not held out.  An empty table gives an empty result; other columns are not
+    read, whatever their names.
     """
     out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == held_out, F.lit(False))
     content = learn(docs.where(~out), id_col, text_col, lang_col)
@@ -134,8 +139,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows of ``docs`` whose language is clear, all columns unchanged; learns from all of them."""
+    """The rows of ``docs`` whose language is clear, all columns unchanged; learns from all of them.
+
+    Null texts, and texts without a letter, go; so do all if no row has a language.
+    Rows that repeat each other stay or go together.  Other columns may have any
+    name.
+    """
     content = learn(docs, id_col, text_col, lang_col)
-    names = ("_lang", "_score", "_margin")
+    names = textkit.free_names(docs.columns, "lang_found", "score_found", "margin_found")
     found = classify(docs, content, text_col, names=names)
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_margin") >= min_margin)).select(*docs.columns)
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[2]) >= min_margin)).select(*docs.columns)

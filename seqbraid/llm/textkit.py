@@ -66,6 +66,16 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def free_names(taken: list[str], *names: str) -> tuple[str, ...]:
+    """The names, with underscores after them where a column has that name already."""
+    low, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name in low:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def thinned(labelled: DataFrame, rows: int) -> DataFrame:
     """About twice ``rows`` of the rows (or all), those of the smallest hashes of doc_id, with the hash.
 

@@ -9,7 +9,7 @@ borrow a full one, chosen by a fixed table, before the registers are banded.
    any size costs one row per task).
 2. Representatives that share a band key meet.  Within a key, the
    collision-corrected estimate of Jaccard similarity says which may be linked;
-   those that may are joined by a spanning forest.
+   those that may are joined by a spanning forest of stars.
 3. The forests' components are families: no link crosses them.  Each family's
    full sets are compared, and give a spanning forest of exact links.
 4. That forest's components are the result.
@@ -43,13 +43,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from seqbraid.llm import textkit
 from seqbraid.operators.components import connected_components
-from seqbraid.plans.shared import materialize
+from seqbraid.plans.shared import bounded, materialize
 
 REGISTERS = 128
 MANTISSA = 10
 MISS = 1e-4
 #: Members of a band key, and of a family, that a chunk holds.
-KEY_CHUNK, FAMILY_CHUNK = 1024, 256
+KEY_CHUNK, FAMILY_CHUNK = 512, 256
 #: Leaders of each round in groups that don't fit a chunk.
 LEADERS = (2, 16, 64)
 _TRIES = 64
@@ -178,21 +178,22 @@ def _sets(k: int, fold: bool) -> Callable:
     return run
 
 
-def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest; near(i, others) says which of the others are linked with i.
+def trees(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[list[int]]:
+    """The members that links join; near(i, others) says which of the others are linked with i.
 
     Each member is compared with those that no tree has reached yet, so a group
     whose members are all linked with one costs a comparison a member.
     """
     out, rest = [], np.arange(n)
     while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
-        while queue and len(rest):
-            i = queue.pop()
+        tree, rest = [int(rest[0])], rest[1:]
+        for i in tree:
+            if not len(rest):
+                break
             linked = near(i, rest)
-            out += [(i, int(j)) for j in rest[linked]]
-            queue += rest[linked].tolist()
+            tree += rest[linked].tolist()
             rest = rest[~linked]
+        out.append(tree)
     return out
 
 
@@ -255,17 +256,20 @@ def _group(table: pa.Table, kind: Group) -> Sketched | Exact:
     return kind(table.column("size").to_numpy(), table.column("data").to_pylist())
 
 
-def _edges(ids: pa.ChunkedArray, pairs: list[tuple[int, int]]) -> pa.Table:
-    at = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.table({"a": ids.take(pa.array(at[:, 0])), "b": ids.take(pa.array(at[:, 1]))})
+def _edges(ids: list, pairs: list[tuple[int, int]], id_type: pa.DataType) -> pa.Table:
+    return pa.table({c: pa.array([ids[p[n]] for p in pairs], id_type) for n, c in enumerate("ab")})
 
 
-def _forest(kind: Group) -> Callable:
-    """Links of a whole group, or of two chunks."""
+def _forest(kind: Group, id_type: pa.DataType) -> Callable:
+    """Links of a whole group, or of two chunks, as stars around the smallest of each tree."""
 
     def run(table: pa.Table) -> pa.Table:
-        group = _group(table, kind)
-        return _edges(table.column("rep"), forest(table.num_rows, lambda i, others: group.similarity(i, others)[1]))
+        group, ids = _group(table, kind), table.column("rep").to_pylist()
+        pairs = []
+        for tree in trees(table.num_rows, lambda i, others: group.similarity(i, others)[1]):
+            least = min(tree, key=ids.__getitem__)
+            pairs += [(i, least) for i in tree if i != least]
+        return _edges(ids, pairs, id_type)
 
     return run
 
@@ -303,7 +307,7 @@ def _meet_leaders(kind: Group, reach: float, id_type: pa.DataType) -> Callable:
     return run
 
 
-def _visit(kind: Group) -> Callable:
+def _visit(kind: Group, id_type: pa.DataType) -> Callable:
     """Visitors and members of a chunk of a class: a link of each visitor, if it has one."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -313,7 +317,7 @@ def _visit(kind: Group) -> Callable:
         for i in np.flatnonzero(visits):
             linked = np.flatnonzero(group.similarity(i, host)[1])
             pairs += [(int(i), int(host[j])) for j in linked[:1]]
-        return _edges(table.column("rep"), pairs)
+        return _edges(table.column("rep").to_pylist(), pairs, id_type)
 
     return run
 
@@ -355,7 +359,7 @@ def group_links(pairs: DataFrame, payload: Callable[[DataFrame], DataFrame], chu
     distances may be off over a chain of two links.
     """
     id_kind = pairs.schema["rep"].dataType
-    name = id_kind.simpleString()
+    name, arrow = id_kind.simpleString(), to_arrow_type(id_kind)
     out = f"a {name}, b {name}"
     counts = materialize(pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "group_sizes")
 
@@ -363,7 +367,7 @@ def group_links(pairs: DataFrame, payload: Callable[[DataFrame], DataFrame], chu
         some = pairs.join(keys.select("key"), "key")
         return some.join(payload(some.select("rep").distinct()), "rep").select("key", "rep", "size", "data")
 
-    found = [members(counts.where(F.col("n") <= chunk)).groupBy("key").applyInArrow(_forest(kind), out)]
+    found = [members(counts.where(F.col("n") <= chunk)).groupBy("key").applyInArrow(_forest(kind, arrow), out)]
     large = counts.where(F.col("n") > chunk)
     if large.isEmpty():
         return found[0]
@@ -376,15 +380,15 @@ def group_links(pairs: DataFrame, payload: Callable[[DataFrame], DataFrame], chu
         heads = heads.join(count, "key").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).withColumn("leads", F.lit(True))
         rows = _dealt(left.join(count, "key"), "_c", "_i").withColumn("leads", F.lit(False)).withColumn("nth", F.lit(0).cast("long"))
         names = ["key", "_i", "rep", "size", "data", "leads", "nth"]
-        meeting = _meet_leaders(kind, 2 * limit + slack, to_arrow_type(id_kind))
+        meeting = _meet_leaders(kind, 2 * limit + slack, arrow)
         met = materialize(heads.select(*names).unionByName(rows.select(*names)).groupBy("key", "_i").applyInArrow(meeting, met_schema), "met_leaders")
         found.append(met.select(F.col("rep").alias("a"), F.explode("links").alias("b")).where("a <> b"))
         if not met.where("size(visits) > 0").isEmpty():
-            found.append(_visits(met, slack, limit, chunk, _visit(kind), out))
+            found.append(_visits(met, slack, limit, chunk, _visit(kind, arrow), out))
         left = met.where("leader is null").select("key", "rep", "size", "data")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, found)
-    found.append(_in_chunks(left, chunk, _forest(kind), out))
+    found.append(_in_chunks(left, chunk, _forest(kind, arrow), out))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -414,7 +418,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     may = group_links(keys, lambda reps: sketch, KEY_CHUNK, partial(Sketched, threshold=threshold), 1 - threshold, 3 * float(spread(threshold)))
     family = materialize(connected_components(may).withColumnRenamed("node", "rep").withColumnRenamed("component", "key"), "families")
     texts = own.withColumnRenamed("doc_id", "rep")
-    sets = lambda reps: texts.join(reps, "rep", "left_semi").mapInArrow(_sets(k, fold_case), f"rep {kind}, size long, data binary").where("size > 0").distinct()
+
+    def sets(reps: DataFrame) -> DataFrame:
+        # By a hash of the id, whose size is known; a few other texts may come along.
+        wanted = bounded(materialize(reps.select(F.xxhash64("rep").alias("h")), "wanted"))
+        some = texts.join(wanted, F.xxhash64("rep") == F.col("h"), "left_semi")
+        return some.mapInArrow(_sets(k, fold_case), f"rep {kind}, size long, data binary").where("size > 0").distinct()
+
     links = group_links(family, sets, FAMILY_CHUNK, partial(Exact, num=num, den=den), 1 - threshold, 1e-9)
     found = connected_components(links).withColumnRenamed("node", "rep")
     final = reps.join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
@@ -429,8 +439,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that repeat an id, all are kept if the id is; rows without an id are
     kept.  Other columns may have any name.
     """
-    gone = near_duplicates(docs, id_col, text_col, k, num, den).where("not kept").select("doc_id").distinct()
-    return docs.alias("_docs").join(gone.alias("_gone"), F.col(f"_docs.{id_col}") == F.col("_gone.doc_id"), "left_anti")
+    gone = materialize(near_duplicates(docs, id_col, text_col, k, num, den).where("not kept").select("doc_id").distinct(), "gone")
+    return docs.alias("_docs").join(bounded(gone).alias("_gone"), F.col(f"_docs.{id_col}") == F.col("_gone.doc_id"), "left_anti")
 
 
 def near_duplicates_sql(table: str = "documents", k: int = 3, num: int = 85, den: int = 100) -> str:

@@ -9,6 +9,9 @@ WORDS = {
 }
 
 
+COLUMNS = "doc_id long, text string, lang string, kept string, score double, word string, rep int, _id string, _gone int, _lang string, lang_found string, rules string, fp array<int>"
+
+
 def sentence(rng, lang, n):
     return " ".join(rng.choice(WORDS[lang]) for _ in range(n))
 
@@ -47,10 +50,10 @@ def corpus():
 @pytest.fixture(scope="session")
 def docs(spark, corpus):
     """The corpus with columns whose names clash with the operators' own."""
-    rows = [(i, t, lang, "kept", 1.0, "block", 7) for i, t, lang in corpus]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string, score double, word string, rep int").repartition(5)
+    rows = [(i, t, lang, "kept", 1.0, "block", 7, "a", 1, "b", "c", "d", [1]) for i, t, lang in corpus]
+    return spark.createDataFrame(rows, COLUMNS).repartition(5)
 
 
 @pytest.fixture(scope="session")
 def no_docs(spark):
-    return spark.createDataFrame([], "doc_id long, text string, lang string, kept string, score double, word string, rep int")
+    return spark.createDataFrame([], COLUMNS)

@@ -43,7 +43,7 @@ def _plain(text: str = "string") -> str:
 def _barcode(text: str = "string") -> str:
     """As the module says."""
     group, kind = _code("cast(floor(user_id / 4) as int)", 1, 20, text), "(event_id * 31 + user_id) % 100"
-    half, two = f"(case when {kind} >= 93 then 1 else 0 end)", f"(case when {kind} between 76 and 81 then 1 else 0 end)"
+    half, two = f"(case when {kind} >= 98 then 1 else 0 end)", f"(case when {kind} between 81 and 86 then 1 else 0 end)"
     # Letters are turned to the next one where a user has gone so far, or is half on the way; or for a second change.
     turned = {5: f"user_id % 4 + {half} >= 1", 7: f"user_id % 4 + {half} >= 2", 9: f"user_id % 4 + {half} >= 3", 12: f"{two} = 1", 15: "user_id % 4 >= 1", 17: "user_id % 4 >= 2", 19: "user_id % 4 >= 3"}
     letters, last = [], 0
@@ -53,7 +53,7 @@ def _barcode(text: str = "string") -> str:
     code = f"concat({', '.join([*letters, f'substr({group}, {last + 1})'])})"
     at = "cast(1 + (event_id * 7) % 20 as int)"
     changed = f"translate(substr({code}, {at}, 1), 'ACGT', 'CGTA')"
-    put = f"case when {kind} < 66 or {kind} >= 93 then substr({code}, {at}, 1) when {kind} < 82 then {changed} when {kind} < 86 then '' when {kind} < 90 then concat(substr({code}, {at}, 1), 'G') else 'N' end"
+    put = f"case when {kind} < 71 or {kind} >= 98 then substr({code}, {at}, 1) when {kind} < 87 then {changed} when {kind} < 91 then '' when {kind} < 95 then concat(substr({code}, {at}, 1), 'G') else 'N' end"
     return f"concat(substr({code}, 1, {at} - 1), {put}, substr({code}, {at} + 1))"
 
 

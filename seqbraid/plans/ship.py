@@ -9,11 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
+#: What goes to a Python worker at once, unless the session says otherwise: whole texts may be long.
+AT_ONCE = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def ensure(spark: SparkSession) -> None:
     """Add the package's sources to the application, once; Spark serves them to every executor."""
     context = spark.sparkContext
+    for name, value in AT_ONCE.items():
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, value)
     if context.applicationId in _SENT:
         return
     root = Path(__file__).resolve().parents[2]

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of text handled at once; a longer text is handled alone and whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes that ``words`` hashes at once, up to the next space; so its work space doesn't grow with a text.
 HASH_BYTES = 1 << 18
 

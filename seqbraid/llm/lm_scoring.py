@@ -155,8 +155,8 @@ def weights(path: str, end: float) -> tuple[list[str], dict[int, int], np.ndarra
     """Pieces of a model file, its byte pieces, and log10 weights by their scores; the last entry is the end, of weight ``end``."""
     model = Pieces(path)
     pieces = [""] * len(model.raw)
-    for piece, (score, i) in model.score.items():
-        if score > -1e8:
+    for piece, (_, i) in model.score.items():
+        if model.scores[i] > -1e8:
             pieces[i] = piece
     held = [i for i, p in enumerate(pieces) if p]
     score = np.array(model.scores)

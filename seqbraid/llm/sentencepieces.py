@@ -6,14 +6,16 @@ distinct marked words of a slice are sorted, which lays them out as a trie in
 depth-first order: a word begins where it leaves its predecessor, and the forward
 scores of the prefix they share stay on the stack.  Each position looks leftwards
 only as far as some piece has such an ending.  The segmentation maximises the sum of
-the pieces' scores; of equal ones the longer last piece wins.
+the pieces' scores; of equal ones the longer last piece wins.  A unigram model's
+scores are log probabilities; a BPE model's are merge ranks, which stand for
+probabilities by the power law 1 / (rank + 3).
 
-For BPE models the library merges pairs instead, by the same scores as ranks, and
-the two segmentations of a word may differ.  So the same walk of the trie also keeps
+For BPE models the library merges pairs instead, by the same ranks, and the two
+segmentations of a word may differ.  So the same walk of the trie also keeps
 each prefix's last piece under merging: merging a prefix ends in piece t just if
 merging the rest ends in some piece s, and s and t side by side stay two pieces when
-merged.  Should a prefix have no such piece, its word is merged by itself.  Texts
-say whether both agree, and ``merge=True`` gives the library's ids.
+merged.  Should a prefix have no such piece, its word is merged by itself.  Both
+are reported, and ``merge=True`` gives the library's ids.
 
 Characters without a piece become byte pieces.  Decoding turns pieces back into
 bytes, marks into spaces, and drops the first.
@@ -21,9 +23,11 @@ bytes, marks into spaces, and drops the first.
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from seqbraid.llm import textkit
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words that a worker remembers, and pairs of pieces; only words of under LONGEST_CACHED characters are.
-CACHE, LONGEST_CACHED = 120_000, 64
+CACHE, LONGEST_CACHED = 160_000, 64
 
 
 def common_prefixes(words: list[str]) -> list[int]:
@@ -80,6 +84,8 @@ class Pieces:
         for i, (piece, score) in enumerate(pieces):
             if i in skipped:
                 continue
+            if bpe:
+                score = -math.log(max(3 - score, 1))
             if len(piece) == 6 and piece[:3] == "<0x" and piece[-1] == ">":
                 self.bytes[int(piece[3:5], 16)] = i
                 self.raw[i] = bytes([int(piece[3:5], 16)])
@@ -143,17 +149,18 @@ class Pieces:
                 i -= 1
 
     def _best_pieces(self, word: str, shared: int, last: list[str], best: list[float]) -> None:
-        """For each longer prefix, the last piece of its best segmentation."""
-        ending, unknown = self.ending, self.unknown
+        """For each longer prefix, the last piece of its best segmentation, and its score."""
+        look, score, unknown = self.ending.get, self.score.get, self.unknown
         for j in range(shared + 1, len(word) + 1):
             i, held = j - 1, word[j - 1]
-            high = best[i] + (self.score[held][0] if held in self.score else unknown)
+            found = score(held)
+            high = best[i] + (found[0] if found is not None else unknown)
             while i > 0:
                 i -= 1
                 text = word[i:j]
-                if text not in ending:
+                found = look(text, False)
+                if found is False:
                     break
-                found = ending[text]
                 if found is not None and (value := best[i] + found[0]) >= high:
                     high, held = value, text
             best.append(high)
@@ -198,8 +205,8 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, float, bytes]]:
         """Ids of whole texts, as native unsigned 32-bit integers, with their scores and the merged ids."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        if len(self.cache) > CACHE:  # what came first is mostly what comes often
+            self.cache = dict(islice(self.cache.items(), CACHE // 2))
         cache = self.cache
         split = [self._words(x) for x in texts]
         new: set[str] = set()
@@ -265,8 +272,8 @@ def _encode(path: str, merge: bool, with_ids: bool):
             found = pieces.encode(texts)
             given = [x[2] if merge else x[0] for x in found]
             same = [pieces.decode(ids) == text for text, ids in zip(texts, given, strict=True)]
-            columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in given], pa.int64()), pa.array(map(_crc, given), pa.int64()), pa.array([x[1] for x in found], pa.float64()), pa.array(same), pa.array([x[0] == x[2] for x in found] if pieces.bpe else [None] * len(found), pa.bool_())]
-            names = ["doc_id", "n_pieces", "ids_crc32", "score", "round_trip", "as_merged"]
+            columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in given], pa.int64()), pa.array(map(_crc, given), pa.int64()), pa.array([x[1] for x in found], pa.float64()), pa.array(same), pa.array([len(x[2]) // 4 if pieces.bpe else None for x in found], pa.int64()), pa.array([_crc(x[2]) if pieces.bpe else None for x in found], pa.int64())]
+            names = ["doc_id", "n_pieces", "ids_crc32", "score", "round_trip", "merged_pieces", "merged_crc32"]
             if with_ids:
                 flat = np.frombuffer(b"".join(given), np.uint32).astype(np.int32)
                 at = np.cumsum([0, *(len(x) // 4 for x in given)]).astype(np.int32)
@@ -277,11 +284,11 @@ def _encode(path: str, merge: bool, with_ids: bool):
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", merge: bool = False, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, score, round_trip, as_merged and the ids of every whole text.
+    """doc_id, n_pieces, ids_crc32, score, round_trip, merged_pieces, merged_crc32 and the ids of every whole text.
 
-    ``score``: of the Viterbi segmentation.  ``as_merged``: for a BPE model, whether
-    merging, as the library does it, gives the same ids; null for others.  ``merge``
-    gives the merged ids.  Null text counts as empty and has no pieces.
+    ``score``: of the Viterbi segmentation, whose ids are given.  ``merged_``: of the
+    ids that merging gives for a BPE model, as the library does it; null for others.
+    With ``merge`` the ids, their number and digest are the merged ones.  Null text counts as empty and has no pieces.
     ``round_trip``: decoding the ids gives the text back; only a text that itself
     holds the mark U+2581 fails.  One row per input row, ids null or repeated
     included, equal texts alike; an empty table gives an empty result; only the two
@@ -289,7 +296,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(_encode(path, merge, with_ids), f"doc_id {kind}, n_pieces long, ids_crc32 long, score double, round_trip boolean, as_merged boolean" + ", ids array<int>" * with_ids)
+    return own.mapInArrow(_encode(path, merge, with_ids), f"doc_id {kind}, n_pieces long, ids_crc32 long, score double, round_trip boolean, merged_pieces long, merged_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def _decode(path: str):

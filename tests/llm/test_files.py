@@ -130,6 +130,7 @@ def test_pieces_equal_the_library(docs, corpus, no_docs):
     assert found.count() == len(corpus) and by_id[100]["ids"] == [] and all(r["round_trip"] for r in by_id.values())
     merged = sp.encode(docs, PIECES, merge=True)
     assert all(r["ids"] == library.encode(dict((i, t) for i, t, _ in corpus)[r["doc_id"]] or "") for r in merged.collect())
+    assert {r["doc_id"]: (r["merged_pieces"], r["merged_crc32"]) for r in found.collect()} == {r["doc_id"]: (r["n_pieces"], r["ids_crc32"]) for r in merged.collect()}
     for some in (found, merged):
         back = {r["doc_id"]: r["text"] for r in sp.decode(some, PIECES).collect()}
         assert all(back[i] == (t or "") for i, t, _ in corpus)

@@ -35,7 +35,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text as the vocabulary's library gives them, the Viterbi score, and whether decoding gives the text back."""
+    """Ids of every text as the vocabulary's library gives them, and whether decoding gives the text back."""
     ship.ensure(spark)
     return sentencepieces.encode(docs, registry.PIECE_BPE, merge=True)
 

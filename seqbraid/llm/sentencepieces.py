@@ -11,11 +11,10 @@ scores are log probabilities; a BPE model's are merge ranks, which stand for
 probabilities by the power law 1 / (rank + 3).
 
 For BPE models the library merges pairs instead, by the same ranks, and the two
-segmentations of a word may differ.  So the same walk of the trie also keeps
-each prefix's last piece under merging: merging a prefix ends in piece t just if
+segmentations of a word may differ.  With ``merge`` the same walk of the trie keeps
+each prefix's last piece under merging instead of its best score: merging a prefix ends in piece t just if
 merging the rest ends in some piece s, and s and t side by side stay two pieces when
-merged.  Should a prefix have no such piece, its word is merged by itself.  Both
-are reported, and ``merge=True`` gives the library's ids.
+merged.  Should a prefix have no such piece, its word is merged by itself.
 
 Characters without a piece become byte pieces.  Decoding turns pieces back into
 bytes, marks into spaces, and drops the first.
@@ -38,7 +37,7 @@ from seqbraid.llm import textkit
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words that a worker remembers, and pairs of pieces; only words of under LONGEST_CACHED characters are.
-CACHE, LONGEST_CACHED = 160_000, 64
+CACHE, LONGEST_CACHED = 60_000, 64
 
 
 def common_prefixes(words: list[str]) -> list[int]:
@@ -62,8 +61,8 @@ def common_prefixes(words: list[str]) -> list[int]:
 class Pieces:
     """A model's pieces, with Viterbi encoding and decoding."""
 
-    def __init__(self, path: str | None = None, pieces: list[tuple[str, float]] | None = None, bpe: bool = False):
-        """Of a model file, or of a list of (piece, score) with byte pieces written <0xNN>."""
+    def __init__(self, path: str | None = None, pieces: list[tuple[str, float]] | None = None, bpe: bool = False, merge: bool = False):
+        """Of a model file, or of a list of (piece, score) with byte pieces written <0xNN>; ``merge``: see above."""
         self.score: dict[str, tuple[float, int]] = {}
         self.bytes: dict[int, int] = {}
         if pieces is None:
@@ -100,8 +99,10 @@ class Pieces:
             for i in range(len(piece)):
                 self.ending.setdefault(piece[i:])
         self.ending.update(self.score)
-        self.cache: dict[str, tuple[bytes, float, bytes]] = {}
-        self.bpe = bpe
+        self.cache: dict[str, tuple[bytes, float]] = {}
+        self.bpe, self.merge = bpe, merge
+        if merge and not bpe:
+            raise ValueError("only a BPE model's pieces are merged")
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
 
@@ -187,24 +188,22 @@ class Pieces:
         out.reverse()
         return out
 
-    def encode_words(self, words: list[str]) -> Iterator[tuple[str, array, float, array | None]]:
-        """Each distinct word of a sorted list with its ids, the sum of their scores, and its merged ids where those differ."""
-        last, best, merged, unsure = [""], [0.0], [""], []
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, array, float]]:
+        """Each distinct word of a sorted list with its ids and the sum of their scores."""
+        last, best, unsure = [""], [0.0], []
         if self.n_pairs > CACHE:
             self.pairs.clear()
             self.n_pairs = 0
         for word, shared in zip(words, common_prefixes(words), strict=True):
-            del last[shared + 1 :], best[shared + 1 :], merged[shared + 1 :]
-            self._best_pieces(word, shared, last, best)
-            pieces, other = self._back(word, last), None
-            if self.bpe:
-                self._last_pieces(word, shared, merged, unsure)
-                found = self.merged(word) if unsure else self._back(word, merged)
-                other = self._ids(found)[0] if found != pieces else None
-            yield word, *self._ids(pieces), other
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, float, bytes]]:
-        """Ids of whole texts, as native unsigned 32-bit integers, with their scores and the merged ids."""
+            del last[shared + 1 :], best[shared + 1 :]
+            if self.merge:
+                self._last_pieces(word, shared, last, unsure)
+            else:
+                self._best_pieces(word, shared, last, best)
+            yield word, *self._ids(self.merged(word) if unsure else self._back(word, last))
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
+        """Ids of whole texts, as native unsigned 32-bit integers, with their scores."""
         if len(self.cache) > CACHE:  # what came first is mostly what comes often
             self.cache = dict(islice(self.cache.items(), CACHE // 2))
         cache = self.cache
@@ -218,13 +217,12 @@ class Pieces:
         for x in new:
             (usual if len(x) < LONGEST_CACHED else rest).append(MARK + x)
         for words, kept in ((usual, cache), (rest, long)):
-            for word, ids, score, merged in self.encode_words(sorted(words)):
-                own = ids.tobytes()
-                kept[word[1:]] = (own, score, own if merged is None else merged.tobytes())
+            for word, ids, score in self.encode_words(sorted(words)):
+                kept[word[1:]] = (ids.tobytes(), score)
         out = []
         for words in split:
             held = [cache[x] if x in cache else long[x] for x in words] if long else list(map(cache.__getitem__, words))
-            out.append((b"".join([x[0] for x in held]), sum([x[1] for x in held]), b"".join([x[2] for x in held])))
+            out.append((b"".join([x[0] for x in held]), sum([x[1] for x in held])))
         return out
 
     @staticmethod
@@ -251,13 +249,13 @@ class Pieces:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-_models: dict[str, Pieces] = {}
+_models: dict[tuple[str, bool], Pieces] = {}
 
 
-def model(path: str) -> Pieces:
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+def model(path: str, merge: bool = False) -> Pieces:
+    if (path, merge) not in _models:
+        _models[path, merge] = Pieces(path, merge=merge)
+    return _models[path, merge]
 
 
 def _crc(ids: bytes) -> int:
@@ -266,17 +264,16 @@ def _crc(ids: bytes) -> int:
 
 def _encode(path: str, merge: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model(path)
+        pieces = model(path, merge)
         for part in textkit.slices(batches, "text"):
             texts = [x or "" for x in part.column("text").to_pylist()]
             found = pieces.encode(texts)
-            given = [x[2] if merge else x[0] for x in found]
-            same = [pieces.decode(ids) == text for text, ids in zip(texts, given, strict=True)]
-            columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in given], pa.int64()), pa.array(map(_crc, given), pa.int64()), pa.array([x[1] for x in found], pa.float64()), pa.array(same), pa.array([len(x[2]) // 4 if pieces.bpe else None for x in found], pa.int64()), pa.array([_crc(x[2]) if pieces.bpe else None for x in found], pa.int64())]
-            names = ["doc_id", "n_pieces", "ids_crc32", "score", "round_trip", "merged_pieces", "merged_crc32"]
+            same = [pieces.decode(ids) == text for text, (ids, _) in zip(texts, found, strict=True)]
+            columns = [part.column("doc_id"), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([_crc(x) for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64()), pa.array(same, pa.bool_())]
+            names = ["doc_id", "n_pieces", "ids_crc32", "score", "round_trip"]
             if with_ids:
-                flat = np.frombuffer(b"".join(given), np.uint32).astype(np.int32)
-                at = np.cumsum([0, *(len(x) // 4 for x in given)]).astype(np.int32)
+                flat = np.frombuffer(b"".join([x for x, _ in found]), np.uint32).astype(np.int32)
+                at = np.cumsum([0, *(len(x) // 4 for x, _ in found)]).astype(np.int32)
                 columns, names = [*columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -284,11 +281,10 @@ def _encode(path: str, merge: bool, with_ids: bool):
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", merge: bool = False, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, score, round_trip, merged_pieces, merged_crc32 and the ids of every whole text.
+    """doc_id, n_pieces, ids_crc32, score, round_trip and the ids of every whole text.
 
-    ``score``: of the Viterbi segmentation, whose ids are given.  ``merged_``: of the
-    ids that merging gives for a BPE model, as the library does it; null for others.
-    With ``merge`` the ids, their number and digest are the merged ones.  Null text counts as empty and has no pieces.
+    The ids are Viterbi's; with ``merge`` those that merging gives for a BPE model, as
+    the library does it.  ``score`` is the sum of their scores.  Null text counts as empty and has no pieces.
     ``round_trip``: decoding the ids gives the text back; only a text that itself
     holds the mark U+2581 fails.  One row per input row, ids null or repeated
     included, equal texts alike; an empty table gives an empty result; only the two
@@ -296,7 +292,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(_encode(path, merge, with_ids), f"doc_id {kind}, n_pieces long, ids_crc32 long, score double, round_trip boolean, merged_pieces long, merged_crc32 long" + ", ids array<int>" * with_ids)
+    return own.mapInArrow(_encode(path, merge, with_ids), f"doc_id {kind}, n_pieces long, ids_crc32 long, score double, round_trip boolean" + ", ids array<int>" * with_ids)
 
 
 def _decode(path: str):

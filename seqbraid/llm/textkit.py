@@ -54,6 +54,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             end = max(start + 1, int(np.searchsorted(size, before + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -130,6 +130,24 @@ def test_verdicts_equal_the_forest_by_hand(spark):
         assert math.isclose(r["anomaly"], score) and r["kept"] == (not r["base_failed"] and score <= most)
 
 
+def test_every_labelled_row_counts(spark):
+    """The bad rows have the greatest id hashes, after 21,000 labels of good ones."""
+    rng = random.Random(12)
+    by_hash = [r["id"] for r in sorted(spark.range(80).selectExpr("pmod(xxhash64(id), 1099511627776) as h", "id").collect())]
+    bad = set(by_hash[70:])
+    rows = [(i, sentence(rng, "en", rng.randint(60, 120)).replace(" ", "$$# " if i in bad else " ")) for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in range(80) for _ in range(300)], "doc_id long, quality int").repartition(7)
+    got = {r["doc_id"]: r for r in qr.judge(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert not any(r["base_failed"] for r in got.values()) and {i for i in got if not got[i]["kept"]} == bad
+    table, fine = np.repeat(np.array([textstats.counts(t)[1] for _, t in rows]), 300, axis=0), np.repeat([i not in bad for i, _ in rows], 300)
+    forest = qr.Forest(table[fine], table.min(axis=0), table.max(axis=0))
+    assert forest.cells(table[fine]).sum(axis=1).tolist() == [21_000] * qr.TREES
+    score = forest.score(table)
+    most = qr.limit(score, fine)
+    assert [got[i]["anomaly"] for i in range(80)] == score[::300].tolist()
+    assert all(got[i]["kept"] == (score[300 * i] <= most) for i in got)
+
+
 def test_language(spark, docs, corpus, no_docs):
     rng = random.Random(6)
     rows = [(i, sentence(rng, lang, rng.randint(20, 60)), lang) for i, lang in enumerate(rng.choice(sorted(WORDS)) for _ in range(300))]

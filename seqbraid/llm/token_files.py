@@ -10,8 +10,9 @@ Texts are cut at single spaces between two characters that aren't white space.
 The tokenizer's own splitting always begins a new piece there, so equal parts
 have equal ids wherever they stand and a worker encodes each distinct part once,
 many parts to a call; a token that begins with the space begins a part.  Of a part
-that is letters and then punctuation, which the splitting would cut in just these
-two, the letters are encoded apart, without the splitting.
+that is letters and then anything that begins with an ASCII character other than a
+letter, where the splitting always cuts, the letters are encoded apart, without the
+splitting, and what follows them as a text of its own.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import filterfalse, islice
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +46,8 @@ SAMPLED = 50
 CACHE, LONGEST = 500_000, 40
 #: Parts that one call encodes end to end.
 JOINED = 500
-#: Letters of U+0041 to U+024F, and ASCII punctuation.
+#: Letters of U+0041 to U+024F.
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The tokenizer's letter for each byte: printable Latin-1 stands for itself, the rest for U+0100 and on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
@@ -72,7 +73,7 @@ class Encoder:
         self.whole: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, parts: list[str], letters: bool = False) -> Iterator[bytes]:
         """Ids of " " + part for parts that may be encoded alone; ``letters``: they need no splitting."""
@@ -100,62 +101,76 @@ class Encoder:
                 parts[-1] += f" {part}"
         return parts
 
-    def _learn(self, new: set[str]) -> None:
-        later, ends = self.later, {"": b""}
-        plain, other, split, rest = set(), set(), [], []
+    def _learn(self, new: set[str]) -> list[str]:
+        """Remember the ids of the parts; returns the words that were learnt with them."""
+        later, letters = self.later, _LETTERS.match
+        plain, other, rest = set(), set(), []
+        whole, words, ends = [], [], []
         for part in new:
-            word = part.rstrip(_PUNCTUATION)
-            if word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)):
-                if word is not part:
-                    end = part[len(word) :]
-                    ends.setdefault(end)
-                    split.append((part, word, end))
+            if part.isascii() and part.isalpha():
+                plain.add(part)
+            elif not part or part[0].isspace() or part[-1].isspace():
+                later[part] = None
+            elif (word := letters(part)) and ((n := word.end()) == len(part) or part[n].isascii()):
+                word = word[0]
+                if n < len(part):
+                    whole.append(part)
+                    words.append(word)
+                    ends.append(part[n:])
                     if word in later:
                         continue
                 (plain if word.isascii() else other).add(word)
-            elif part and not part[0].isspace() and not part[-1].isspace():
-                rest.append(part)
             else:
-                later[part] = None
-        for words in (list(plain), list(other)):
-            later.update(zip(words, self._joined(words, letters=True), strict=True))
+                rest.append(part)
+        for some in (list(plain), list(other)):
+            later.update(zip(some, self._joined(some, letters=True), strict=True))
         later.update(zip(rest, self._joined(rest), strict=True))
-        unseen = [x for x, ids in ends.items() if ids is None]
-        ends.update(zip(unseen, self._ids(unseen), strict=True))
-        later.update([(part, later[word] + ends[end]) for part, word, end in split])
+        unseen = list(set(ends) - self.whole.keys())
+        self.whole.update(zip(unseen, self._ids(unseen), strict=True))
+        later.update(zip(whole, list(map(add, map(later.__getitem__, words), map(self.whole.__getitem__, ends))), strict=True))
+        self._forget_long(self.whole, unseen)
+        return words
+
+    @staticmethod
+    def _forget_long(seen: dict, parts: Iterable[str]) -> None:
+        for part in [x for x in parts if len(x) > LONGEST]:
+            seen.pop(part, None)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.later) > CACHE:  # what came first is mostly what comes often
             self.later = dict(islice(self.later.items(), CACHE // 2))
         if len(self.whole) > CACHE:
             self.whole.clear()
-        split = [x.split(" ") for x in texts]
-        heads = [x.pop(0) for x in split]
         new: set[str] = set()
-        known = self.later.__contains__
-        for rest in split:
-            new.update(filterfalse(known, rest))
-        self._learn(new)
-        out: list[bytes | None] = []
+        heads: list[str] = []
+        found: list[list[bytes | str | None]] = []  # a part that isn't known stands for itself
+        find = self.later.get
+        for text in texts:
+            rest = text.split(" ")
+            heads.append(rest.pop(0))
+            found.append(row := list(map(find, rest, rest)))
+            new.update([x for x in row if type(x) is str])
+        words = self._learn(new)
+        out: list[bytes] = []
         slow: list[tuple[int, list[str]]] = []
-        get = self.later.__getitem__
-        for i, (head, rest) in enumerate(zip(heads, split, strict=True)):
+        later = self.later
+        for i, (head, row) in enumerate(zip(heads, found, strict=True)):
             try:
-                if rest and (not head or head[-1].isspace()):
+                if row and (not head or head[-1].isspace()):
                     raise TypeError
-                body = b"".join(map(get, rest))
+                body = b"".join([later[x] if type(x) is str else x for x in row])
                 parts = [head]
             except TypeError:
-                body, parts = b"", self._careful(head, rest)
+                body, parts = b"", self._careful(head, texts[i].split(" ")[1:])
             slow.append((i, parts))
             out.append(body)
         unseen = list({x for _, parts in slow for x in parts} - self.whole.keys())
         self.whole.update(zip(unseen, self._ids(unseen), strict=True))
         for i, parts in slow:
             out[i] = b"".join([self.whole[x] for x in parts]) + out[i]
-        for seen, parts in ((self.later, new), (self.whole, unseen)):
-            for part in [x for x in parts if len(x) > LONGEST]:
-                seen.pop(part, None)
+        self._forget_long(self.later, new)
+        self._forget_long(self.later, words)
+        self._forget_long(self.whole, unseen)
         return out
 
 

@@ -61,6 +61,20 @@ def test_encoder_equals_the_library(corpus):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_before_line_breaks_are_encoded_once(monkeypatch):
+    """What follows a word's letters is a text of its own; only other parts are split by the tokenizer."""
+    rng, e, split = random.Random(5), tf.Encoder(BPE), []
+    joined = tf.Encoder._joined
+    monkeypatch.setattr(tf.Encoder, "_joined", lambda self, parts, letters=False: split.extend([] if letters else parts) or joined(self, parts, letters))
+    words = ["alpha", "Ünten", "a", "don", "I", "日本", "x" * 50, "été"]
+    ends = [".\nOne", "\n\nTwo", "'s", "'t\n", "12", "\t\t9", "<|endoftext|>b", "%\r\nÀ", "_c", "\n日", "\u0301z", "µ", "-\n\x1cQ", ",", "", "." * 60]
+    texts = [" ".join(rng.choice(words) + rng.choice(ends) for _ in range(30)) for _ in range(200)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert split and all(x.startswith("日") or x.endswith(("\u0301z", "µ")) for x in split)
+    assert max(map(len, [*e.later, *e.whole])) <= tf.LONGEST
+
+
 def test_random_access_and_damage(spark, tmp_path):
     rows = [(i * 3, " ".join(f"w{i * j}" for j in range(i % 40))) for i in range(200)]
     manifest = tf.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), new_path(spark, "t"), BPE, rows_per_file=64).collect()

@@ -7,6 +7,12 @@ model's scores are log probabilities and are taken as they are; a BPE model's ar
 merge ranks, which weigh by the power law 1 / (rank + 3).  The weights sum to what
 the end leaves, whose weight is the share of ends among the training tokens.
 
+``learned`` fits this to the training texts.  The scores so weigh the segmentations
+of every distinct training word, and the pieces' expected counts in these, besides
+PRIOR counts dealt by the scores, are the new weights.  The lattice under them is
+what unseen words are expected to be: a word's probability is (c + V * lattice) /
+(N + V), of its count c among N training tokens of V kinds.
+
 Nothing is computed twice for a word: the corpus is dealt into blocks of documents,
 each block gives its distinct words, the words' totals and likelihoods are found
 once, and each block gets back the table of its own words.  So a frequent word costs
@@ -34,6 +40,8 @@ SMALL_BLOCKS = 32
 #: Words of up to so many characters are scored together; longer ones one by one.
 TOGETHER = 48
 _BATCH = 20_000
+#: So many uses of pieces, dealt by the vocabulary's scores, besides those expected in the training words.
+PRIOR = 100.0
 #: How much rarer than the rarest piece a character is that the vocabulary can't spell, as a log10.
 UNKNOWN_LOG = 6.0
 _END = ""  # stands for a text's end, as no word is empty
@@ -78,8 +86,8 @@ class Lattice:
         ids = [self.byte_pieces.get(b) for b in char.encode()]
         return self.unknown if None in ids else float(self.logs[ids].sum())
 
-    def _edges(self, codes: np.ndarray, lengths: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """(start, length): rows that have a piece there, and its log weight."""
+    def _edges(self, codes: np.ndarray, lengths: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, length): rows that have a piece there, its log weight, and its id; -1 for a character without a piece."""
         n, width = codes.shape
         out = {}
         for start in range(width):
@@ -96,48 +104,102 @@ class Lattice:
                     at = np.minimum(np.searchsorted(keys, rolling[live]), len(keys) - 1)
                     found = keys[at] == rolling[live]
                     if found.any():
-                        out[start, size] = live[found], self.logs[ids[at[found]]]
+                        out[start, size] = live[found], self.logs[ids[at[found]]], ids[at[found]]
                 if size == 1 and not found.all():
                     rows = live[~found]
                     chars, back = np.unique(codes[rows, start], return_inverse=True)
                     each = np.array([self._spelled(chr(int(c))) for c in chars])
-                    kept = out.get((start, 1), (np.zeros(0, np.int64), np.zeros(0)))
-                    out[start, 1] = np.concatenate([kept[0], rows]), np.concatenate([kept[1], each[back]])
+                    kept = out.get((start, 1), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)))
+                    out[start, 1] = np.concatenate([kept[0], rows]), np.concatenate([kept[1], each[back]]), np.concatenate([kept[2], np.full(len(rows), -1)])
         return out
 
+    def _steps(self, word: str, start: int) -> Iterator[tuple[int, str, float]]:
+        """(end, letters, natural log weight) of each piece that begins at ``start``."""
+        ln10 = math.log(10)
+        for end in range(start + 1, min(len(word), start + self.longest) + 1):
+            text = word[start:end]
+            if text in self.ids:
+                yield end, text, float(self.logs[self.ids[text]]) * ln10
+            elif end == start + 1:
+                yield end, text, self._spelled(text) * ln10
+            if text not in self.openings:
+                return
+
+    def _ahead(self, word: str) -> list[float]:
+        """Natural log sums over all segmentations of each opening of a word."""
+        ahead = [0.0] + [-math.inf] * len(word)
+        for start in range(len(word)):
+            for end, _, log in self._steps(word, start):
+                ahead[end] = _plus(ahead[end], ahead[start] + log)
+        return ahead
+
     def _forward_one(self, word: str) -> float:
         """``forward`` of one long word, position by position, as a natural logarithm."""
-        n, ln10 = len(word), math.log(10)
-        ahead = [-math.inf] * (n + 1)
-        ahead[0] = 0.0
-        for start in range(n):
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                text = word[start:end]
-                if text in self.ids:
-                    ahead[end] = _plus(ahead[end], ahead[start] + float(self.logs[self.ids[text]]) * ln10)
-                elif end == start + 1:
-                    ahead[end] = _plus(ahead[end], ahead[start] + self._spelled(text) * ln10)
-                if text not in self.openings:
-                    break
-        return ahead[n]
+        return self._ahead(word)[-1]
+
+    def _expected_one(self, word: str) -> np.ndarray:
+        """``expected`` of one long word."""
+        n, ahead, used = len(word), self._ahead(word), np.zeros(len(self.pieces))
+        behind = [-math.inf] * n + [0.0]
+        for start in range(n - 1, -1, -1):
+            for end, text, log in self._steps(word, start):
+                behind[start] = _plus(behind[start], behind[end] + log)
+                self._count(used, text, math.exp(ahead[start] + log + behind[end] - ahead[n]))
+        return used
+
+    def _count(self, used: np.ndarray, text: str, share: float) -> None:
+        """Add ``share`` uses of a piece, or of the byte pieces of a character that has none."""
+        ids = [self.ids[text]] if text in self.ids else [self.byte_pieces.get(b) for b in text.encode()]
+        if None not in ids:
+            np.add.at(used, ids, share)
+
+    def _codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(w) for w in words])
+        codes = np.zeros((len(words), int(lengths.max())), np.uint64)
+        codes[np.arange(codes.shape[1]) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        return codes, lengths
+
+    @staticmethod
+    def _sums(edges: dict, order: list, lengths: np.ndarray) -> np.ndarray:
+        """Natural log sums up to each position, a row each."""
+        ln10 = math.log(10)
+        ahead = np.full((int(lengths.max()) + 1, len(lengths)), -np.inf)
+        ahead[0] = 0
+        for start, size in order:
+            rows, logs, _ = edges[start, size]
+            ahead[start + size, rows] = np.logaddexp(ahead[start + size, rows], ahead[start, rows] + logs * ln10)
+        return ahead
 
     def forward(self, words: list[str]) -> np.ndarray:
         """Log10 sums over all segmentations of marked words, all about equally long."""
         ln10 = math.log(10)
         if len(words) == 1 and len(words[0]) > TOGETHER:
             return np.array([self._forward_one(words[0]) / ln10])
-        lengths = np.array([len(w) for w in words])
-        width = int(lengths.max())
-        codes = np.zeros((len(words), width), np.uint64)
-        flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        codes[np.arange(width) < lengths[:, None]] = flat
+        codes, lengths = self._codes(words)
         edges = self._edges(codes, lengths)
-        ahead = np.full((width + 1, len(words)), -np.inf)
-        ahead[0] = 0
-        for start, size in sorted(edges):
-            rows, logs = edges[start, size]
-            ahead[start + size, rows] = np.logaddexp(ahead[start + size, rows], ahead[start, rows] + logs * ln10)
-        return ahead[lengths, np.arange(len(words))] / ln10
+        return self._sums(edges, sorted(edges), lengths)[lengths, np.arange(len(words))] / ln10
+
+    def expected(self, words: list[str]) -> np.ndarray:
+        """How often each piece is used in marked words, all about equally long, one word counting as one."""
+        if len(words) == 1 and len(words[0]) > TOGETHER:
+            return self._expected_one(words[0])
+        ln10, each = math.log(10), np.arange(len(words))
+        codes, lengths = self._codes(words)
+        edges = self._edges(codes, lengths)
+        order = sorted(edges)
+        ahead, used = self._sums(edges, order, lengths), np.zeros(len(self.pieces))
+        total = ahead[lengths, each]
+        behind = np.full(ahead.shape, -np.inf)
+        behind[lengths, each] = 0
+        for start, size in reversed(order):
+            rows, logs, ids = edges[start, size]
+            rest = behind[start + size, rows] + logs * ln10
+            behind[start, rows] = np.logaddexp(behind[start, rows], rest)
+            share, real = np.exp(ahead[start, rows] + rest - total[rows]), ids >= 0
+            used += np.bincount(ids[real], share[real], len(used))
+            for row, part in zip(rows[~real], share[~real], strict=True):
+                self._count(used, words[row][start], part)
+        return used
 
     def batches(self, words: list[str]) -> Iterator[np.ndarray]:
         """Word numbers in groups of about equal length."""
@@ -195,27 +257,67 @@ def _block_words(train_mod: int, held: int):
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of about _BATCH words, for the lattice takes many together."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= _BATCH:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _likelihoods(pieces, byte_pieces, logs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, byte_pieces, logs)
-        for batch in batches:
-            words = batch.column("word").to_pylist()
+        for table in _gathered(batches):
+            words = table.column("word").to_pylist()
             marked, out = [MARK + w for w in words], np.zeros(len(words))
             for group in lattice.batches(marked):
                 out[group] = lattice.forward([marked[i] for i in group])
             out[[i for i, w in enumerate(words) if w == _END]] = logs[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(out)], ["word", "c", "logp"])
+            yield from table.append_column("logp", pa.array(out)).combine_chunks().to_batches()
 
     return run
 
 
-def _score(n_train: int, distinct: int):
+def _expected(pieces, byte_pieces, logs):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, used = Lattice(pieces, byte_pieces, logs), np.zeros(len(pieces))
+        for table in _gathered(batches):
+            marked = [MARK + w for w in table.column("word").to_pylist()]
+            for group in lattice.batches(marked):
+                used += lattice.expected([marked[i] for i in group])
+        ids = np.flatnonzero(used)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(used[ids])], ["piece", "used"])
+
+    return run
+
+
+def refitted(logs: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Log10 weights by the uses of pieces and PRIOR more, dealt by ``logs``; the end, the last, keeps its weight."""
+    uses = used + PRIOR * 10**logs
+    uses[-1] = 0
+    with np.errstate(divide="ignore"):
+        out = np.log10(uses / uses.sum() * (1 - 10 ** logs[-1]))
+    out[-1] = logs[-1]
+    return out
+
+
+def _score(n_train: int, distinct: int, learned: bool):
     spread = n_train + distinct + 1
+    kinds = max(1, distinct)
 
     def run(texts: pa.Table, table: pa.Table) -> pa.Table:
         at = {w: i for i, w in enumerate(table.column("word").cast(pa.binary()).to_pylist())}
         c, logp = table.column("c").to_numpy(), table.column("logp").to_numpy()
         base = np.log10((c + 1) / spread)
+        if learned:
+            with np.errstate(divide="ignore"):
+                logp = np.logaddexp(np.log(c), math.log(kinds) + logp * math.log(10)) / math.log(10) - math.log10(n_train + kinds)
         rows = []
         for text in texts.column("text").cast(pa.large_binary()).to_pylist():
             words = (text or b"").lower().split()
@@ -228,7 +330,7 @@ def _score(n_train: int, distinct: int):
     return run
 
 
-def score_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held_out: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held_out: int = 2, block_bytes: int = BLOCK_BYTES, learned: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row.
 
     Documents whose crc32 of the id as text leaves ``held_out`` modulo ``mod`` are
@@ -237,7 +339,8 @@ def score_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     base has one unseen token's mass and the end the weight 1/200.  Repeated ids and
     equal rows give a row each, equal texts the same scores; a long text is in a
     block of its own size; an empty table gives an empty result; only the two named
-    columns are read.
+    columns are read.  ``learned`` scores by the training words with the refitted
+    lattice as their prior (see above); without, by the bare scores of the vocabulary.
     """
     learns = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod != held_out, F.lit(False))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), learns.alias("learns"))
@@ -249,7 +352,12 @@ def score_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     words = materialize(in_blocks.groupBy("word").agg(F.sum("c").alias("c")), "words")
     n_train, distinct, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum(F.when(F.col("word") == _END, F.col("c"))), F.lit(0))).first()
     pieces, byte_pieces, logs = weights(vocabulary, ends / (n_train + 1) if n_train else 1 / 200)
+    if learned and n_train:
+        used, trained = np.zeros(len(pieces)), words.where((F.col("c") > 0) & (F.col("word") != _END)).select("word")
+        for row in trained.mapInArrow(_expected(pieces, byte_pieces, logs), "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect():  # at most a row per piece
+            used[row["piece"]] = row["used"]
+        logs = refitted(logs, used)
     scored = words.mapInArrow(_likelihoods(pieces, byte_pieces, logs), "word string, c long, logp double")
     tables = in_blocks.select("block", "word").join(scored, "word")
     out = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(_score(n_train, distinct), out)
+    return dealt.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(_score(n_train, distinct, learned), out)

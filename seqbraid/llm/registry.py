@@ -42,7 +42,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), PIECE_BPE)
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), PIECE_BPE, learned=True)
 
 
 def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from seqbraid.llm import decontaminate as dc, language_id as lid, lm_scoring as lm, quality_fm as fm, quality_rules as qr, textkit, textstats
+from seqbraid.llm import decontaminate as dc, language_id as lid, lm_scoring as lm, quality_fm as fm, quality_rules as qr, registry, textkit, textstats
 from seqbraid.llm.registry import PIECE_BPE as PIECES
 from seqbraid.llm.sentencepieces import MARK, Pieces
 from tests.llm.conftest import WORDS, sentence
@@ -260,6 +260,41 @@ def test_scores_of_texts(spark, docs, corpus, no_docs):
     assert lm.score_texts(no_docs, PIECES).count() == 0
 
 
+def test_learned_scores_are_of_the_training_words_and_the_refitted_lattice(spark, docs, corpus):
+    train = Counter(w for i, t, _ in corpus if crc(i) % 7 != 2 for w in [*(t or "").encode().lower().split(), b""])
+    n, v = sum(train.values()), len(train)
+    pieces, byte_pieces, logs = lm.weights(PIECES, train[b""] / (n + 1))
+    lattice = lm.Lattice(pieces, byte_pieces, logs)
+    # Expected uses: how far a word's log sum moves as a piece's log weight does.
+    words, step = ["▁" + w for w in ("the", "habenxé", "日")], 1e-5
+    used = sum(lattice.expected([w]) for w in words)
+    assert np.allclose(used, sum(lattice._expected_one(w) for w in words))
+    for i in [*np.flatnonzero(used)[:40], 5000]:
+        moved = logs.copy()
+        moved[i] += step
+        other = lm.Lattice(pieces, byte_pieces, moved)
+        assert math.isclose(used[i], sum(float(other.forward([w])[0] - lattice.forward([w])[0]) for w in words) / step, rel_tol=1e-3, abs_tol=1e-4)
+    fitted = lm.refitted(logs, sum(lattice.expected(["▁" + w.decode()]) for w in train if w))
+    assert math.isclose((10**fitted).sum(), 1, rel_tol=1e-9) and fitted[-1] == logs[-1]
+    prior = lm.Lattice(pieces, byte_pieces, fitted)
+    texts, held = dict((i, t) for i, t, _ in corpus), []
+    for r in lm.score_texts(docs, PIECES, block_bytes=50_000, learned=True).collect():
+        assert math.isfinite(r["score"])
+        if r["doc_id"] not in (106, 107):
+            low = [float(prior.forward(["▁" + w.decode()])[0]) for w in (texts[r["doc_id"]] or "").encode().lower().split()] + [float(fitted[-1])]
+            words = [*(texts[r["doc_id"]] or "").encode().lower().split(), b""]
+            by_hand = sum(math.log10((train[w] + v * 10**x) / (n + v)) for w, x in zip(words, low, strict=True))
+            assert math.isclose(r["score"], by_hand, rel_tol=1e-9)
+        held += [(r["score"], r["base_score"])] * r["held_out"]
+    assert sum(s for s, _ in held) > 1.25 * sum(b for _, b in held)
+
+
+def test_the_query_scores_held_out_rows_about_as_well_as_the_base(spark):
+    rows = registry.op6_lm_scoring(spark, "/root/testdata/sf0.001").where("held_out").collect()
+    assert all(r["score"] is not None and math.isfinite(r["score"]) for r in rows)
+    assert sum(r["score"] for r in rows) > 1.5 * sum(r["base_score"] for r in rows)
+
+
 def test_scores_of_rows_without_an_id_or_with_another_type(spark):
     df = spark.createDataFrame([("x", "one two"), (None, "one two"), (None, "one two"), ("x", None)], "doc_id string, text string")
     got = sorted((r["doc_id"] or "", r["n_tokens"], r["n_known"], round(r["score"], 9)) for r in lm.score_texts(df, PIECES).collect())

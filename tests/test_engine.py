@@ -93,6 +93,34 @@ def test_segment_join_finds_all_pairs(spark, most):
     assert {tuple(r) for r in pairs.pairs_against(queries, df, most).collect()} == against
 
 
+def test_pairs_three_letters_apart(spark):
+    """Also of lengths on both sides of where strings are halved, and of few strings of a length among many of another."""
+    rng = random.Random(3)
+    rows = set()
+    for n in (5, 12, 20, 20, 20, 35, 46, 49):
+        base = "".join(rng.choice("ACGT") for _ in range(n))
+        for _ in range(12):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(t) + 1)
+                t[at : at + rng.randint(0, 1)] = [rng.choice("ACGTN")] * rng.randint(0, 1)
+            rows.add("".join(t))
+    rows = sorted(rows - {""})
+    df = spark.createDataFrame(list(enumerate(rows)), "uid long, seq string").withColumn("cnt", F.lit(1))
+    for most in (2, 3):
+        want = {(i, j, d) for i in range(len(rows)) for j in range(i + 1, len(rows)) if 0 < (d := levenshtein(rows[i], rows[j])) <= most}
+        assert {tuple(r) for r in pairs.similar_pairs(df, most).collect()} == want
+
+
+@pytest.mark.parametrize("most", [2, 3])
+def test_strings_that_are_unlike_seldom_meet(spark, most):
+    """Of 3,000 strings of 20 letters taken at random."""
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(20))) for i in range(3000)], "uid long, seq string")
+    left, right = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns)) for side in "lr")
+    assert pairs._met(left, right, "seq", most, "N", F.col("l_uid") != F.col("r_uid")).count() < 3000
+
+
 def test_pairs_of_mates(spark):
     rng = random.Random(5)
     base = [("".join(rng.choice("ACGT") for _ in range(9)), "".join(rng.choice("ACGT") for _ in range(7))) for _ in range(6)]

@@ -70,6 +70,7 @@ def cluster(reads: DataFrame, distance: int | None = None, ratio: float = 5.0, a
     if distance is not None and distance > strings.MAX_DISTANCE:
         raise ValueError(f"distance must be at most {strings.MAX_DISTANCE}")
     ship.ensure(reads.sparkSession)
+    ship.true_sizes(reads.sparkSession)
     reads = sources.normalize(reads, validate, on_invalid, fold_case)
     try:
         uniq = materialize(collapse.ranked(collapse.collapse(reads, with_info=with_info)), "uniq")
@@ -100,6 +101,7 @@ def cluster(reads: DataFrame, distance: int | None = None, ratio: float = 5.0, a
 def cluster_tags(reads: DataFrame, tag_length: int, tag_distance: int = 0, seq_distance: int | None = None, trim: int = 50, tag_algorithm: str = "mp", seq_algorithm: str = "mp", tag_ratio: float = 3, seq_ratio: float = 3, with_ids: bool = False, validate: bool = True) -> DataFrame:
     """Cluster tags and sequences apart, and return the reads that share both clusters (see ``umi.intersect``)."""
     ship.ensure(reads.sparkSession)
+    ship.true_sizes(reads.sparkSession)
     parts = materialize(umi.split_tag(sources.normalize(reads, validate), tag_length, trim), "parts")
     sides = []
     for column, dist, ratio, algorithm in (("tag", tag_distance, tag_ratio, tag_algorithm), ("body", seq_distance, seq_ratio, seq_algorithm)):

@@ -12,6 +12,17 @@ _SENT: set[str] = set()
 #: What goes to a Python worker at once, unless the session says otherwise: whole texts may be long.
 AT_ONCE = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
+#: How many times longer tables of numbers are in memory than in their files, unless the session says otherwise.  By
+#: the files' own size Spark would broadcast tables of 100 MB and more, each of which the driver holds twice.
+SIZES = {"spark.sql.sources.fileCompressionFactor": "8"}
+
+
+def true_sizes(spark: SparkSession) -> None:
+    """What decides whether a file's table is broadcast is about its size in memory."""
+    for name, value in SIZES.items():
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, value)
+
 
 def ensure(spark: SparkSession) -> None:
     """Add the package's sources to the application, once; Spark serves them to every executor."""

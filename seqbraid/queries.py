@@ -71,6 +71,7 @@ _COUNT = "case when event_id % 5 = 0 then 2 else 1 end"
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship.ensure(spark)
+    ship.true_sizes(spark)
     return spark.read.parquet(f"{sf_dir}/events.parquet").fillna(-1, ["user_id"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqbraid import api, cli
 from seqbraid.functions import strings
 from seqbraid.operators import collapse, components, message_passing, pairs, spheres
+from seqbraid.plans.shared import materialize
 from seqbraid.sources import reads as sources, render
 
 CENTRES = ["AGGGCTTACAAGTATAGGCC", "TGCGCCAAGTACGATTTCCG", "CCTCATTATTTGTCGCAATG", "GGGAGCCCACAGTAAGCGAA", "TAGCCTGGTGCGACTGTCAT"]
@@ -121,6 +122,12 @@ def test_strings_that_are_unlike_seldom_meet(spark, most):
     assert pairs._met(left, right, "seq", most, "N", F.col("l_uid") != F.col("r_uid")).count() < 3000
 
 
+def test_tables_are_broadcast_by_their_size_in_memory(spark):
+    api.cluster_tags(reads_of(spark, ["ACGTACGTAC"]), 4, 0, 1)
+    table = materialize(spark.range(300_000).select(F.col("id").alias("uid"), (F.col("id") % 7).alias("canonical")), "sizes")
+    assert int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 300_000 * 16
+
+
 def test_pairs_of_mates(spark):
     rng = random.Random(5)
     base = [("".join(rng.choice("ACGT") for _ in range(9)), "".join(rng.choice("ACGT") for _ in range(7))) for _ in range(6)]
